@@ -1,14 +1,16 @@
 """Order within a story, computed so that one huge story cannot land in one task.
 
-``seq_number`` is ``row_number() OVER (PARTITION BY keys ORDER BY order)`` without a window over a whole key:
-rows are range-partitioned on ``(keys, order)`` (Spark samples the bounds, so a key holding a third of all rows
-spreads over a third of the tasks), numbered inside each ``(key, partition)`` block, and shifted by the rows of the
-key's earlier blocks. Only a block that starts a partition can have earlier blocks, so the offset table has at
-most one row per partition: a proven bound, hence broadcast.
+``seq_number`` is ``row_number() OVER (PARTITION BY keys ORDER BY order)``. A cheap per-key count (partial
+aggregation, so itself skew-free) first finds keys holding more than ``spark.longform.hotKeyRows`` rows (default
+1,000,000). With none, the plain window is used. Otherwise the cold keys keep the window, and the rows of hot keys
+are range-partitioned on ``(keys, order)`` -- a key holding a third of all rows spreads over a third of the tasks --
+and checkpointed to the shared ``spark.checkpoint.dir`` so that the per-block numbering and the block counts come
+from one materialization (range bounds are sampled). Rows are shifted by the counts of the key's earlier blocks;
+only a block that starts a partition has earlier blocks, so the offset table has at most one row per partition
+(proven bound, broadcast). The hot-key table has at most ``rows / hotKeyRows`` rows (broadcast).
 
 Everything else that looks at a neighbour row (``lag``/``lead``) is an equi-join on ``(keys, seq ± 1)``, which
 hash-partitions evenly however big a story is. Running aggregates use fixed-size blocks of ``seq``.
-Set ``spark.longform.skewSafe=false`` to fall back to a plain window per key.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKEW_SAFE_CONF = "spark.longform.skewSafe"
+HOT_KEY_CONF = "spark.longform.hotKeyRows"
+DEFAULT_HOT_KEY_ROWS = 1_000_000
 BLOCK_ROWS = 4096
 
 
@@ -30,33 +34,49 @@ def skew_safe(df: DataFrame) -> bool:
     return df.sparkSession.conf.get(SKEW_SAFE_CONF, "true").lower() == "true"
 
 
+def hot_key_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(HOT_KEY_CONF, str(DEFAULT_HOT_KEY_ROWS)))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
+    """Keys with more than ``threshold`` rows: at most ``rows / threshold`` of them."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lf_n"))
+            .where(F.col("_lf_n") > threshold).select(*keys))
+
+
+def window_number(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "seq") -> DataFrame:
+    """Plain ``row_number()`` per key: one shuffle, one task per key."""
+    w = Window.partitionBy(*list(keys)).orderBy(*_cols(order))
+    return df.withColumn(name, F.row_number().over(w).cast("long"))
+
+
 def seq_number(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "seq") -> DataFrame:
     """1-based position of each row within its key, by ``order`` (which must be unique within a key)."""
     keys = list(keys)
     order_cols = _cols(order)
     if not skew_safe(df):
-        w = Window.partitionBy(*keys).orderBy(*order_cols)
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
-    # name the order expressions so the numbering can be joined back on (keys, order)
-    onames = [f"_lf_o{i}" for i in range(len(order_cols))]
-    src = df.select("*", *[c.alias(n) for c, n in zip(order_cols, onames)])
+        return window_number(df, keys, order_cols, name)
+    hot = hot_keys(df, keys, hot_key_rows(df))
+    if hot.isEmpty():
+        return window_number(df, keys, order_cols, name)
+    hot = F.broadcast(hot.withColumn("_lf_hot", F.lit(True)))
+    tagged = df.join(hot, keys, "left")
+    cold = window_number(tagged.where(F.col("_lf_hot").isNull()).drop("_lf_hot"), keys, order_cols, name)
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # both branches below read the same narrow subtree, so Spark reuses one range exchange (one set of bounds)
-    narrow = src.select(*keys, *onames)
-    ranged = (narrow.repartitionByRange(n_parts, *[F.col(k) for k in keys + onames])
-              .withColumn("_lf_pid", F.spark_partition_id()))
+    ranged = (tagged.where(F.col("_lf_hot")).drop("_lf_hot")
+              .repartitionByRange(n_parts, *[F.col(k) for k in keys], *order_cols)
+              .withColumn("_lf_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
     local = ranged.withColumn(
-        "_lf_ln", F.row_number().over(Window.partitionBy(*keys, "_lf_pid").orderBy(*onames)))
+        "_lf_ln", F.row_number().over(Window.partitionBy(*keys, "_lf_pid").orderBy(*order_cols)))
     blocks = local.groupBy(*keys, "_lf_pid").agg(F.max("_lf_ln").alias("_lf_cnt"))
     before = Window.partitionBy(*keys).orderBy("_lf_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (blocks.select(*keys, "_lf_pid", F.sum("_lf_cnt").over(before).alias("_lf_off"))
                .where(F.col("_lf_off") > 0))
-    jcols = keys + onames
     numbered = (local.join(F.broadcast(offsets), keys + ["_lf_pid"], "left")
-                .select(*[F.col(c).alias(c + "_r") for c in jcols],
-                        (F.col("_lf_ln") + F.coalesce(F.col("_lf_off"), F.lit(0))).cast("long").alias(name)))
-    cond = [src[c].eqNullSafe(numbered[c + "_r"]) for c in jcols]
-    return src.join(numbered, cond).drop(*onames, *[c + "_r" for c in jcols])
+                .withColumn(name, (F.col("_lf_ln") + F.coalesce(F.col("_lf_off"), F.lit(0))).cast("long"))
+                .drop("_lf_pid", "_lf_ln", "_lf_off"))
+    return cold.unionByName(numbered)
 
 
 def with_neighbour(df: DataFrame, keys: Sequence[str], seq: str, cols: Sequence[str], step: int = 1,

@@ -8,16 +8,28 @@ The same views are written in SQL for the DuckDB oracle (``longform.oracle``).
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, wraps
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longform.functions.records import ordered_list
-from longform.functions.seq import seq_number, with_neighbour
+from longform.functions.seq import window_number as seq_number
+from longform.functions.seq import with_neighbour
 from longform.sources.tables import table
 
 
+def shared(fn):
+    """A fixture view referenced by many queries of a session: persisted (memory, then disk) on first use, so
+    one query plan and the next reuse it instead of re-deriving it. Lost blocks are recomputed from lineage."""
+    @cached_property
+    @wraps(fn)
+    def prop(self):
+        return fn(self).persist(StorageLevel.MEMORY_AND_DISK)
+    return prop
+
+
 def _state(flag: str) -> F.Column:
     return (F.when(F.col(flag) == "R", F.lit("dead")).when(F.col(flag) == "A", F.lit("wounded"))
             .otherwise(F.lit("healthy")))
@@ -34,14 +46,14 @@ class Fixtures:
         return table(self.spark, self.sf_dir, name)
 
     # F1
-    @cached_property
+    @shared
     def stories(self) -> DataFrame:
         c = self.t("customer")
         return c.select(F.col("c_custkey").alias("story_id"),
                         F.concat("c_name", F.lit(" in "), "c_mktsegment").alias("premise"))
 
     # F2
-    @cached_property
+    @shared
     def orders(self) -> DataFrame:
         o = self.t("orders").select(
             F.col("o_custkey").alias("story_id"), "o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority",
@@ -58,7 +70,7 @@ class Fixtures:
         order = F.struct("l_linenumber", "l_partkey", "l_suppkey")
         return li.groupBy("l_orderkey").agg(ordered_list(ch, order).alias("characters"))
 
-    @cached_property
+    @shared
     def event_detail(self) -> DataFrame:
         """Full Event record fields of every order (title, summary, time, place, cast, goal, conflict, scores)."""
         o = self.t("orders")
@@ -80,7 +92,7 @@ class Fixtures:
             ((F.col("o_orderkey") % 101).cast("double") / 100).alias("novelty_score"),
             ((F.col("o_orderkey") % 113).cast("double") / 100).alias("coherence_score"))
 
-    @cached_property
+    @shared
     def candidates(self) -> DataFrame:
         """Seed candidates (val_iter 0): three per round in event order; revised ones (val_iter 1) for urgent,
         high and medium priority orders still open."""
@@ -95,7 +107,7 @@ class Fixtures:
                        "event_id", "event_key", "o_orderkey"))
         return base.unionByName(rev)
 
-    @cached_property
+    @shared
     def candidate_records(self) -> DataFrame:
         """Candidates with full Event fields; revised candidates carry a marked title."""
         d = self.event_detail
@@ -104,7 +116,7 @@ class Fixtures:
                             .otherwise(F.col("title")))
 
     # F3
-    @cached_property
+    @shared
     def verdicts(self) -> DataFrame:
         o = self.orders
         rnd = F.floor((F.col("event_seq") - 1) / 3).cast("int").alias("round")
@@ -120,7 +132,7 @@ class Fixtures:
         return v.withColumn("suggestion", F.when(F.col("valid"), F.lit(""))
                             .otherwise(F.concat(F.lit("rework "), F.col("event_id"))))
 
-    @cached_property
+    @shared
     def completeness(self) -> DataFrame:
         c = self.candidates.select("story_id", "round").distinct()
         complete = ((F.col("story_id") * 7919 + F.col("round") * 31) % 11 == 0)
@@ -153,7 +165,7 @@ class Fixtures:
             F.col("event_seq").alias("src_seq"), F.col("event_seq_next").alias("tgt_seq"), "l_partkey",
             F.col("o_orderpriority").alias("src_priority"))
 
-    @cached_property
+    @shared
     def relations(self) -> DataFrame:
         """Model edge list: base chain, urgent sources repeated, high-priority sources also reversed, and a
         self-loop on the first event of low-priority stories; ``rel_seq`` is list order."""
@@ -178,7 +190,7 @@ class Fixtures:
         return r.select("story_id", "rel_seq", "type", "source_event_id", "target_event_id", "rationale")
 
     # F5
-    @cached_property
+    @shared
     def events(self) -> DataFrame:
         """Accepted events (not pending orders), renumbered densely, with full Event fields."""
         o = self.orders.where(F.col("o_orderstatus") != "P").select(
@@ -208,7 +220,7 @@ class Fixtures:
             F.year("l_shipdate").alias("chapter_id"))
         return seq_number(s, ["story_id"], ["o_seq", "l_linenumber", "l_partkey", "l_suppkey"], "sub_seq")
 
-    @cached_property
+    @shared
     def sub_events(self) -> DataFrame:
         """Sub-events after story-wide id resolution."""
         from longform.operators.planning import resolve_sub_event_ids
@@ -230,7 +242,7 @@ class Fixtures:
                                                       "l_shipdate", "sub_seq", F.lit(2).alias("variant"))
         return m0.unionByName(m1).unionByName(m2)
 
-    @cached_property
+    @shared
     def chapters(self) -> DataFrame:
         """Chapters in list order (``chapter_pos``); every fourth story lists its chapters newest first."""
         m = self.plan_members
@@ -244,7 +256,7 @@ class Fixtures:
                         "sub_event_ids")
 
     # F8
-    @cached_property
+    @shared
     def passages(self) -> DataFrame:
         """A written passage per reading slot of a known sub-event."""
         from longform.operators.writing import reading_order

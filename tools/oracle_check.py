@@ -50,7 +50,7 @@ def main() -> int:
     from longform.catalog import oracle_sql, queries
     qs, sqls = queries(), oracle_sql()
     names = args.names or list(qs)
-    spark = get_spark("local[8]", shuffle_partitions=8)
+    spark = get_spark("local[8]", shuffle_partitions=8, extra={"spark.ui.showConsoleProgress": "false"})
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{args.sf}/{t}.parquet')")
