@@ -1 +1,84 @@
-"""Placeholder."""
+"""Prompt request queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from longform.catalog import register
+from longform.catalog.common import fx
+from longform.catalog.outline import EVENT_JSON_SQL, Q_GRAPH, graph_frame
+from longform.catalog.planning import SUB_JSON_SQL
+from longform.operators import prompts as T
+
+EVENTS_TEXT_SQL = f"""
+q_evtext AS (SELECT e.story_id, string_agg({EVENT_JSON_SQL}, chr(10) ORDER BY e.event_seq) AS events
+             FROM fx_events e GROUP BY e.story_id)"""
+CAND_JSON_SQL = EVENT_JSON_SQL.replace("e.", "c.")
+
+
+def _out(df, keys):
+    return df.select("stage", *keys, "prompt_hash", F.length("prompt").cast("long").alias("prompt_len"))
+
+
+def _sql_out(stage, keys, prompt_sql, src):
+    return f"""SELECT '{stage}' AS stage, {keys}, sha256(p) AS prompt_hash, CAST(length(p) AS BIGINT) AS prompt_len
+FROM (SELECT {keys}, {prompt_sql} AS p FROM {src}) x"""
+
+
+REQ_COMPLETENESS_SQL = "WITH " + EVENTS_TEXT_SQL.strip() + "\n" + _sql_out(
+    "completeness", "story_id", T.render_sql("completeness", {"premise": "s.premise", "events": "t.events"}),
+    "fx_stories s LEFT JOIN q_evtext t USING (story_id)")
+
+
+@register("req_completeness", REQ_COMPLETENESS_SQL)
+def req_completeness(spark, sf):
+    f = fx(spark, sf)
+    return _out(T.req_completeness(f.stories, f.events), ["story_id"])
+
+
+@register("req_validate", "WITH " + EVENTS_TEXT_SQL.strip() + f""",
+q_cand AS (SELECT c.story_id, c.round, c.val_iter, string_agg({CAND_JSON_SQL}, chr(10) ORDER BY c.pos) AS candidates
+           FROM fx_candidate_records c GROUP BY c.story_id, c.round, c.val_iter)
+""" + _sql_out("validate", "story_id, round, val_iter",
+               T.render_sql("validate", {"premise": "s.premise", "events": "t.events", "candidates": "q.candidates"}),
+               "q_cand q JOIN fx_stories s USING (story_id) LEFT JOIN q_evtext t USING (story_id)"))
+def req_validate(spark, sf):
+    f = fx(spark, sf)
+    r = T.req_validate(f.stories, f.events, f.candidate_records, ["story_id", "round", "val_iter"])
+    return _out(r, ["story_id", "round", "val_iter"])
+
+
+@register("req_relations", "WITH " + EVENTS_TEXT_SQL.strip() + "\n" + _sql_out(
+    "relations", "story_id", T.render_sql("relations", {"premise": "s.premise", "events": "t.events"}),
+    "fx_stories s LEFT JOIN q_evtext t USING (story_id)"))
+def req_relations(spark, sf):
+    f = fx(spark, sf)
+    return _out(T.req_relations(f.stories, f.events), ["story_id"])
+
+
+def _graph_json(spark, sf):
+    g = graph_frame(spark, sf)
+    return g.select("story_id", F.to_json(F.struct("nodes", "edges"), {"ignoreNullFields": "false"})
+                    .alias("graph_json"))
+
+
+@register("req_subevents", "WITH " + Q_GRAPH.strip() + "\n" + _sql_out(
+    "subevents", "story_id, event_seq, target_event_id",
+    T.render_sql("subevents", {"premise": "s.premise", "graph": "g.graph_json", "target": "target_event_id"}),
+    "(SELECT story_id, event_seq, event_id AS target_event_id FROM fx_events) e JOIN fx_stories s USING (story_id) "
+    "JOIN q_graph g USING (story_id)"))
+def req_subevents(spark, sf):
+    f = fx(spark, sf)
+    r = T.req_subevents(f.stories, _graph_json(spark, sf), f.events)
+    return _out(r, ["story_id", "event_seq", "target_event_id"])
+
+
+@register("req_weave", "WITH " + Q_GRAPH.strip() + f""",
+q_subs AS (SELECT s.story_id, string_agg({SUB_JSON_SQL}, chr(10) ORDER BY s.sub_seq) AS subs
+           FROM fx_sub_events s GROUP BY s.story_id)
+""" + _sql_out("weave", "story_id",
+               T.render_sql("weave", {"premise": "s.premise", "graph": "g.graph_json", "sub_events": "q.subs"}),
+               "fx_stories s JOIN q_graph g USING (story_id) JOIN q_subs q USING (story_id)"))
+def req_weave(spark, sf):
+    f = fx(spark, sf)
+    return _out(T.req_weave(f.stories, _graph_json(spark, sf), f.sub_events), ["story_id"])

@@ -1 +1,48 @@
-"""Placeholder."""
+"""Source and sink queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from longform.catalog import register
+from longform.catalog.common import RUN_ID, fx
+from longform.catalog.outline import Q_GRAPH, graph_frame
+from longform.plans import sinks as S
+from longform.sources import premises as P
+
+
+@register("src_premises", "SELECT c_custkey AS story_id, concat(c_name, ' in ', c_mktsegment) AS premise FROM customer")
+def src_premises(spark, sf):
+    c = fx(spark, sf).t("customer").select(F.col("c_custkey").alias("story_id"),
+                                           F.concat("c_name", F.lit(" in "), "c_mktsegment").alias("premise"))
+    return c
+
+
+@register("story_identity", f"""
+SELECT story_id, sha256(concat_ws('|', '{RUN_ID}', premise)) AS story_key FROM fx_stories""")
+def story_identity(spark, sf):
+    return P.story_identity(fx(spark, sf).stories, RUN_ID).select("story_id", "story_key")
+
+
+@register("sink_outline", "WITH " + Q_GRAPH.strip() + "\nSELECT story_id, graph_json AS outline_json FROM q_graph")
+def sink_outline(spark, sf):
+    return S.outline_rows(graph_frame(spark, sf))
+
+
+@register("run_counters", """
+SELECT stage, story_id, sum(n) AS n FROM (
+  SELECT 'candidates' AS stage, story_id, count(*) AS n FROM fx_candidates GROUP BY story_id
+  UNION ALL SELECT 'events', story_id, count(*) FROM fx_events GROUP BY story_id
+  UNION ALL SELECT 'sub_events', story_id, count(*) FROM fx_sub_events GROUP BY story_id
+  UNION ALL SELECT 'chapters', story_id, count(*) FROM fx_chapters GROUP BY story_id
+  UNION ALL SELECT 'passages', story_id, count(*) FROM fx_passages GROUP BY story_id) c
+GROUP BY ROLLUP (stage, story_id)""")
+def run_counters(spark, sf):
+    f = fx(spark, sf)
+    parts = [(n, d) for n, d in [("candidates", f.candidates), ("events", f.events), ("sub_events", f.sub_events),
+                                 ("chapters", f.chapters), ("passages", f.passages)]]
+    counts = None
+    for name, d in parts:
+        c = d.groupBy("story_id").agg(F.count(F.lit(1)).alias("n")).withColumn("stage", F.lit(name))
+        counts = c if counts is None else counts.unionByName(c)
+    return S.run_counters(counts).select("stage", "story_id", "n")

@@ -82,7 +82,7 @@ q_slot AS (
   SELECT r.story_id, r.pos, r.sub_event_id, s.parent_event_id FROM fx_reading r
   JOIN fx_sub_events s ON s.story_id = r.story_id AND s.sub_event_id = r.sub_event_id),
 q_parent AS (
-  SELECT q.*, {EVENT_JSON_SQL} AS parent_json FROM q_slot q
+  SELECT q.*, CASE WHEN e.event_id IS NULL THEN NULL ELSE {EVENT_JSON_SQL} END AS parent_json FROM q_slot q
   LEFT JOIN fx_events e ON e.story_id = q.story_id AND e.event_id = q.parent_event_id)"""
 
 
