@@ -31,8 +31,8 @@ q_batches AS (
          coalesce(m.n_accepted, 0) AS n_accepted, coalesce(m.n_invalid, 0) AS n_invalid
   FROM (SELECT DISTINCT story_id, round, val_iter FROM fx_candidates) b
   LEFT JOIN (SELECT story_id, round, val_iter, count(*) AS n_matched,
-                    sum(CASE WHEN valid THEN 1 ELSE 0 END) AS n_accepted,
-                    sum(CASE WHEN valid THEN 0 ELSE 1 END) AS n_invalid
+                    CAST(sum(CASE WHEN valid THEN 1 ELSE 0 END) AS BIGINT) AS n_accepted,
+                    CAST(sum(CASE WHEN valid THEN 0 ELSE 1 END) AS BIGINT) AS n_invalid
              FROM q_match GROUP BY story_id, round, val_iter) m
     ON m.story_id = b.story_id AND m.round = b.round AND m.val_iter = b.val_iter),
 q_live AS (
@@ -45,15 +45,15 @@ Q_STOP = Q_LIVE + """,
 q_round_acc AS (
   SELECT r.story_id, r.round, coalesce(a.n_accepted, 0) AS n_accepted
   FROM (SELECT DISTINCT story_id, round FROM fx_candidates WHERE val_iter = 0) r
-  LEFT JOIN (SELECT story_id, round, sum(n_accepted) AS n_accepted FROM q_live WHERE live GROUP BY story_id, round) a
+  LEFT JOIN (SELECT story_id, round, CAST(sum(n_accepted) AS BIGINT) AS n_accepted FROM q_live WHERE live GROUP BY story_id, round) a
     ON a.story_id = r.story_id AND a.round = r.round),
 q_cap AS (
   SELECT story_id, round, n_accepted,
-         coalesce(sum(n_accepted) OVER (PARTITION BY story_id ORDER BY round
-                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS accepted_before
+         CAST(coalesce(sum(n_accepted) OVER (PARTITION BY story_id ORDER BY round
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS accepted_before
   FROM q_round_acc),
 q_empty AS (
-  SELECT story_id, sum(CASE WHEN round = rn THEN 1 ELSE 0 END) AS empty_round
+  SELECT story_id, CAST(sum(CASE WHEN round = rn THEN 1 ELSE 0 END) AS INTEGER) AS empty_round
   FROM (SELECT story_id, round, row_number() OVER (PARTITION BY story_id ORDER BY round) - 1 AS rn
         FROM (SELECT DISTINCT story_id, round FROM fx_candidates WHERE val_iter = 0) s) x GROUP BY story_id),
 q_stop AS (

@@ -30,7 +30,7 @@ def sink_outline(spark, sf):
 
 
 @register("run_counters", """
-SELECT stage, story_id, sum(n) AS n FROM (
+SELECT stage, story_id, CAST(sum(n) AS BIGINT) AS n FROM (
   SELECT 'candidates' AS stage, story_id, count(*) AS n FROM fx_candidates GROUP BY story_id
   UNION ALL SELECT 'events', story_id, count(*) FROM fx_events GROUP BY story_id
   UNION ALL SELECT 'sub_events', story_id, count(*) FROM fx_sub_events GROUP BY story_id
