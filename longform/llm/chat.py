@@ -60,7 +60,10 @@ def linear_nodes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def _jumps(nodes: DataFrame) -> list[DataFrame]:
-    """Tables ``(node, up, gain, low)``: the ancestor 2^i levels up, null past the root; scores and least id between."""
+    """Tables ``(node, up, gain, low)``: the ancestor 2^i levels up, null past the root; scores and least id between.
+
+    Only nodes that have not reached their root take part in a join.
+    """
     links = nodes.select("node", "parent", "score")
     known = links.select(F.col("node").alias("_p"))
     cur = materialize(links.join(known, F.col("parent") == F.col("_p"), "left")
@@ -68,11 +71,12 @@ def _jumps(nodes: DataFrame) -> list[DataFrame]:
                               F.least("node", F.coalesce("_p", "node")).alias("low")))
     levels, n = [cur], nodes.count()
     while (1 << (len(levels) - 1)) <= n and not levels[-1].where("up IS NOT NULL").isEmpty():
-        a, b = levels[-1], levels[-1].select(F.col("node").alias("_n"), F.col("up").alias("_u"),
-                                             F.col("gain").alias("_g"), F.col("low").alias("_l"))
-        levels.append(materialize(a.join(b, a["up"] == b["_n"], "left").select(
-            "node", F.col("_u").alias("up"), (F.col("gain") + F.coalesce("_g", F.lit(0.0))).alias("gain"),
-            F.least("low", F.coalesce("_l", "low")).alias("low"))))
+        cur = levels[-1]
+        beyond = cur.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("gain").alias("_g"),
+                            F.col("low").alias("_l"))
+        moved = cur.where("up IS NOT NULL").join(beyond, F.col("up") == F.col("_n")).select(
+            "node", F.col("_u").alias("up"), (F.col("gain") + F.col("_g")).alias("gain"), F.least("low", "_l").alias("low"))
+        levels.append(materialize(moved.union(cur.where("up IS NULL"))))
     return levels
 
 
