@@ -12,11 +12,11 @@ MAX_VAL = 2
 MAX_EVENTS = 6
 RUN_ID = "run-1"
 
-_CACHE: dict[tuple[int, str], Fixtures] = {}
+_CACHE: dict[tuple[str, str], Fixtures] = {}
 
 
 def fx(spark: SparkSession, sf_dir: str) -> Fixtures:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         _CACHE[key] = Fixtures(spark, sf_dir)
     return _CACHE[key]

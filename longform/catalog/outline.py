@@ -208,14 +208,14 @@ q_edges AS (SELECT story_id, count(*) AS n_edges,
                    string_agg({REL_JSON_SQL}, ',' ORDER BY r.rel_seq) AS edges_json
             FROM q_valid_rel r GROUP BY story_id),
 q_graph AS (
-  SELECT n.story_id, n.n_nodes, coalesce(d.n_edges, 0) AS n_edges,
-         concat('{{"nodes":[', n.nodes_json, '],"edges":[', coalesce(d.edges_json, ''), ']}}') AS graph_json
-  FROM q_nodes n LEFT JOIN q_edges d ON d.story_id = n.story_id)"""
+  SELECT s.story_id, coalesce(n.n_nodes, 0) AS n_nodes, coalesce(d.n_edges, 0) AS n_edges,
+         concat('{{"nodes":[', coalesce(n.nodes_json, ''), '],"edges":[', coalesce(d.edges_json, ''), ']}}') AS graph_json
+  FROM fx_stories s LEFT JOIN q_nodes n ON n.story_id = s.story_id LEFT JOIN q_edges d ON d.story_id = s.story_id)"""
 
 
 def graph_frame(spark, sf):
     f = fx(spark, sf)
-    return O.event_graph(f.events, O.relations_valid(f.relations, f.events))
+    return O.event_graph(f.events, O.relations_valid(f.relations, f.events), f.stories)
 
 
 @register("event_graph", _with(Q_GRAPH, "SELECT * FROM q_graph"))

@@ -56,15 +56,15 @@ q_ch AS (SELECT story_id, count(*) AS n_chapters,
                 string_agg(to_json({{'chapter_id': c.chapter_id, 'title': c.title, 'summary': c.summary,
                                     'sub_event_ids': c.sub_event_ids}}), ',' ORDER BY c.chapter_pos) AS ch_json
          FROM fx_chapters c GROUP BY story_id)
-SELECT s.story_id, g.n_nodes, g.n_edges, se.n_sub_events, ch.n_chapters,
+SELECT s.story_id, g.n_nodes, g.n_edges, coalesce(se.n_sub_events, 0) AS n_sub_events,
+       coalesce(ch.n_chapters, 0) AS n_chapters,
        md5(concat('{{"premise":', to_json(s.premise), ',"event_graph":', g.graph_json, ',"sub_events":[',
-                  se.se_json, '],"chapters":[', ch.ch_json, ']}}')) AS plan_md5
+                  coalesce(se.se_json, ''), '],"chapters":[', coalesce(ch.ch_json, ''), ']}}')) AS plan_md5
 FROM fx_stories s JOIN q_graph g ON g.story_id = s.story_id
-JOIN q_se se ON se.story_id = s.story_id JOIN q_ch ch ON ch.story_id = s.story_id""")
+LEFT JOIN q_se se ON se.story_id = s.story_id LEFT JOIN q_ch ch ON ch.story_id = s.story_id""")
 def story_plan(spark, sf):
     f = fx(spark, sf)
     p = P.story_plan(f.stories, graph_frame(spark, sf), f.sub_events, f.chapters)
-    p = p.where(F.col("sub_events").isNotNull() & F.col("chapters").isNotNull())
     return p.select("story_id", F.size("event_graph.nodes").cast("long").alias("n_nodes"),
                     F.size("event_graph.edges").cast("long").alias("n_edges"),
                     F.size("sub_events").cast("long").alias("n_sub_events"),

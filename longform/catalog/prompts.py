@@ -78,7 +78,7 @@ q_subs AS (SELECT s.story_id, string_agg({SUB_JSON_SQL}, chr(10) ORDER BY s.sub_
            FROM fx_sub_events s GROUP BY s.story_id)
 """ + _sql_out("weave", "story_id",
                T.render_sql("weave", {"premise": "s.premise", "graph": "g.graph_json", "sub_events": "q.subs"}),
-               "fx_stories s JOIN q_graph g USING (story_id) JOIN q_subs q USING (story_id)"))
+               "fx_stories s JOIN q_graph g USING (story_id) LEFT JOIN q_subs q USING (story_id)"))
 def req_weave(spark, sf):
     f = fx(spark, sf)
     return _out(T.req_weave(f.stories, _graph_json(spark, sf), f.sub_events), ["story_id"])

@@ -192,7 +192,7 @@ def relations_valid(relations: DataFrame, events: DataFrame) -> DataFrame:
 
 def event_graph(events: DataFrame, relations: DataFrame, stories: DataFrame | None = None) -> DataFrame:
     """One row per story: ``nodes`` in ``event_seq`` order and ``edges`` in list order (kept as given,
-    duplicates included); a story without edges gets an empty list."""
+    duplicates included). With ``stories``, one without events or edges gets empty lists."""
     nodes = events.groupBy("story_id").agg(
         ordered_list(F.struct(*[F.col(c) for c in _event_fields()]), F.col("event_seq")).alias("nodes"))
     edges = relations.groupBy("story_id").agg(
@@ -202,7 +202,9 @@ def event_graph(events: DataFrame, relations: DataFrame, stories: DataFrame | No
     empty_edges = F.array().cast("array<struct<type:string,source_event_id:string,target_event_id:string,"
                                  "rationale:string>>")
     g = base.join(nodes, "story_id", "left").join(edges, "story_id", "left")
-    return g.select("story_id", F.col("nodes"), F.coalesce("edges", empty_edges).alias("edges"))
+    empty_nodes = F.array().cast(nodes.schema["nodes"].dataType)
+    return g.select("story_id", F.coalesce("nodes", empty_nodes).alias("nodes"),
+                    F.coalesce("edges", empty_edges).alias("edges"))
 
 
 def _event_fields():

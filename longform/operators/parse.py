@@ -110,10 +110,11 @@ def _int_rule(x: Column) -> tuple[Column, Column]:
     k = _kind(x)
     num = F.try_variant_get(x, "$", "double")
     s = F.trim(F.try_variant_get(x, "$", "string"))
-    val = (F.when((k == "number") & (num == F.floor(num)), num.cast("long"))
-           .when(k == "boolean", F.try_variant_get(x, "$", "boolean").cast("long"))
-           .when(k == "string", s.try_cast("long")))
-    return val.isNotNull(), val.cast("int")
+    whole = F.regexp_replace(s, r"\.0+$", "")  # "1.0" is the integer 1
+    val = (F.when((k == "number") & (num == F.floor(num)), num.try_cast("int"))
+           .when(k == "boolean", F.try_variant_get(x, "$", "boolean").cast("int"))
+           .when(k == "string", whole.try_cast("int")))
+    return val.isNotNull(), val
 
 
 def _list_str_rule(x: Column) -> tuple[Column, Column]:
@@ -222,49 +223,50 @@ def passage_text(responses: DataFrame, text_col: str = "response_text") -> DataF
 
 # ---- salvage (per row, only for texts tier 1 could not parse) ----------------------------------------------
 def salvage_json(text: str) -> str | None:
-    """Best effort repair of a cut-off or sloppy JSON span: trailing commas dropped, open strings, objects and
-    arrays closed, a dangling key or colon removed. Returns compact JSON text or None."""
-    if not text:
-        return None
-    start = min([i for i in (text.find("["), text.find("{")) if i >= 0], default=-1)
+    """Repair of a cut-off or sloppy JSON text in one pass: trailing commas dropped, and if the text ends early, all after
+    the last complete element dropped and what is open closed. Returns compact JSON text or None."""
+    start = min([i for i in (text.find("["), text.find("{")) if i >= 0], default=-1) if text else -1
     if start < 0:
         return None
-    s = text[start:]
-    for cut in range(len(s), 0, -1):
-        cand = _close(s[:cut])
-        if cand is None:
-            continue
-        try:
-            return json.dumps(json.loads(cand), ensure_ascii=False, separators=(",", ":"))
-        except ValueError:
-            continue
-    return None
-
-
-def _close(s: str) -> str | None:
-    stack, in_str, esc = [], False, False
-    for ch in s:
+    out: list[str] = []
+    stack: list[str] = []
+    safe: tuple[int, str] | None = None  # length of ``out`` after the last complete element, and what closes it
+    in_str = esc = False
+    for ch in text[start:]:
         if in_str:
+            out.append(ch)
             if esc:
                 esc = False
             elif ch == "\\":
                 esc = True
             elif ch == '"':
                 in_str = False
-        elif ch == '"':
+            continue
+        if ch in "]}":
+            while out and out[-1] in ", \t\r\n":
+                out.pop()
+            if not stack or stack.pop() != ch:
+                break
+            out.append(ch)
+            safe = (len(out), "".join(reversed(stack)))
+            if not stack:
+                break
+            continue
+        if ch == "," and stack:
+            safe = (len(out), "".join(reversed(stack)))
+        out.append(ch)
+        if ch == '"':
             in_str = True
         elif ch in "[{":
             stack.append("]" if ch == "[" else "}")
-        elif ch in "]}":
-            if not stack:
-                return None
-            stack.pop()
-    out = s + ('"' if in_str else "")
-    out = re.sub(r",\s*$", "", out)
-    out = re.sub(r",\s*([\]}])", r"\1", out)
-    if re.search(r"[:{,]\s*$", out) and not out.rstrip().endswith("{"):
+            if safe is None:
+                safe = (len(out), "".join(reversed(stack)))
+    if safe is None:
+        return None
+    try:
+        return json.dumps(json.loads("".join(out[:safe[0]]) + safe[1]), ensure_ascii=False, separators=(",", ":"))
+    except ValueError:
         return None
-    return out + "".join(reversed(stack))
 
 
 def salvage(parsed: DataFrame, keys: list[str], text_col: str = "response_text") -> DataFrame:

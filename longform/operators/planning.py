@@ -36,11 +36,15 @@ def resolve_sub_event_ids(sub_events: DataFrame) -> DataFrame:
 
 
 def story_plan(stories: DataFrame, graph: DataFrame, sub_events: DataFrame, chapters: DataFrame) -> DataFrame:
-    """One row per story: premise, event graph, sub-events in plan order, chapters in list order."""
+    """One row per story: premise, event graph, sub-events in plan order, chapters in list order.
+
+    Lists without members are empty."""
     se = sub_events.groupBy("story_id").agg(ordered_list(
         F.struct(*[F.col(c) for c in schemas.SUB_EVENT_FIELDS]), F.col("sub_seq")).alias("sub_events"))
     ch = chapters.groupBy("story_id").agg(ordered_list(
         F.struct(*[F.col(c) for c in schemas.CHAPTER_FIELDS]), F.col("chapter_pos")).alias("chapters"))
+    none_of = {n: F.coalesce(n, F.array().cast(d.schema[n].dataType)).alias(n)
+               for n, d in (("sub_events", se), ("chapters", ch))}
     return (stories.join(graph, "story_id").join(se, "story_id", "left").join(ch, "story_id", "left")
-            .select("story_id", "premise", F.struct("nodes", "edges").alias("event_graph"), "sub_events",
-                    "chapters"))
+            .select("story_id", "premise", F.struct("nodes", "edges").alias("event_graph"), none_of["sub_events"],
+                    none_of["chapters"]))

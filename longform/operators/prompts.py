@@ -14,22 +14,30 @@ from pyspark.sql import functions as F
 
 from longform.functions.records import event_json, ordered_text, sub_event_json
 
-# Our own short wording; only the slots matter (fixed texts of the request format).
+# Request texts: one task sentence, then the inputs a model needs for it, each under a bracketed name.
 TEMPLATES = {
-    "completeness": "Premise:\n{premise}\n\nPartialEventList:\n{events}\n",
-    "seed": ("Premise:\n{premise}\n\nPartialEventList:\n{events}\n\nCompletenessStatus:\nReason: {reason}\n"
-             "MissingElements: {missing}\n\nProduce up to {k} candidate events as a JSON array.\n"),
-    "validate": "Premise:\n{premise}\n\nPartialEventList:\n{events}\n\nCandidates:\n{candidates}\n",
-    "revise": ("Premise:\n{premise}\n\nPartialEventList:\n{events}\n\nOriginalCandidates:\n{candidates}\n\n"
-               "ValidatorFeedback:\n{feedback}\n"),
-    "relations": "Premise:\n{premise}\n\nEvents:\n{events}\n",
-    "subevents": "Premise:\n{premise}\n\nEventGraph:\n{graph}\n\nTargetEventId: {target}\n",
-    "weave": "Premise:\n{premise}\n\nEventGraph:\n{graph}\n\nSubEvents:\n{sub_events}\n",
-    "compress": "Premise:\n{premise}\n\nStoryHistory:\n{history}\n\nCurrentSubEvent:\n{sub_event}\n",
-    "write": ("Premise:\n{premise}\n\nContextSummary:\n{summary}\n\nCurrentChapter: {chapter}\n"
-              "NextChapter: {next_chapter}\n\nSubEvent:\n{sub_event}\n"),
-    "revise_passage": ("Premise:\n{premise}\n\nEventGraph:\n{graph}\n\nSubEvent:\n{sub_event}\n\n"
-                       "ContextSummary:\n{summary}\n\nRawText:\n{raw_text}\n"),
+    "completeness": ("Does this outline tell its story from start to end? Answer with one JSON object.\n"
+                     "[story idea] {premise}\n[outline, one event a line]\n{events}\n"),
+    "seed": ("Continue this outline with at most {k} new events, as a JSON list.\n[story idea] {premise}\n"
+             "[why it is unfinished] {reason}\n[what is still needed] {missing}\n[outline, one event a line]\n{events}\n"),
+    "validate": ("Judge for each proposal whether it fits the outline. Answer with a JSON list of verdicts.\n"
+                 "[story idea] {premise}\n[outline, one event a line]\n{events}\n[proposals]\n{candidates}\n"),
+    "revise": ("Rework the proposals that were turned down, following the remarks. Answer with a JSON list of events.\n"
+               "[story idea] {premise}\n[remarks]\n{feedback}\n[proposals]\n{candidates}\n"
+               "[outline, one event a line]\n{events}\n"),
+    "relations": ("Which events depend on each other, and how? Answer with a JSON list of links.\n"
+                  "[outline, one event a line]\n{events}\n[story idea] {premise}\n"),
+    "subevents": ("Break the event {target} into scenes. Answer with a JSON list of scenes.\n"
+                  "[graph of the story] {graph}\n[story idea] {premise}\n"),
+    "weave": ("Arrange all scenes in chapters, in the order of reading. Answer with a JSON list of chapters.\n"
+              "[scenes, one a line]\n{sub_events}\n[graph of the story] {graph}\n[story idea] {premise}\n"),
+    "compress": ("Sum up what the next scene has to know of the text so far. Answer with one JSON object.\n"
+                 "[next scene] {sub_event}\n[text so far]\n{history}\n[story idea] {premise}\n"),
+    "write": ("Write the scene as prose and nothing else.\n[scene] {sub_event}\n[it belongs to] {chapter}\n"
+              "[after it comes] {next_chapter}\n[known so far] {summary}\n[story idea] {premise}\n"),
+    "revise_passage": ("Check the draft against the plan and mend it. Answer with one JSON object.\n[draft]\n{raw_text}\n"
+                       "[scene] {sub_event}\n[known so far] {summary}\n[graph of the story] {graph}\n"
+                       "[story idea] {premise}\n"),
 }
 
 _SLOT = re.compile(r"\{([a-z_]+)\}")
@@ -105,7 +113,7 @@ def req_subevents(stories: DataFrame, graph_json: DataFrame, events: DataFrame)
 def req_weave(stories: DataFrame, graph_json: DataFrame, sub_events: DataFrame) -> DataFrame:
     """Premise, graph and all sub-events in plan order."""
     se = sub_events.groupBy("story_id").agg(ordered_text(sub_event_json(), F.col("sub_seq"), "\n").alias("subs"))
-    s = stories.join(graph_json, "story_id").join(se, "story_id")
+    s = stories.join(graph_json, "story_id").join(se, "story_id", "left")
     p = render("weave", {"premise": F.col("premise"), "graph": F.col("graph_json"), "sub_events": F.col("subs")})
     return with_hash(s.select("story_id", p.alias("prompt")), "weave")
 

@@ -23,7 +23,7 @@ FROM orders""",
     "fx_event_cast": f"""
 SELECT l_orderkey, list({{'name': concat('Supplier ', CAST(l_suppkey AS VARCHAR)), 'role': l_linestatus,
                          'state': {STATE}}} ORDER BY l_linenumber, l_partkey, l_suppkey) AS characters
-FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey""",
+FROM lineitem GROUP BY l_orderkey""",
     "fx_event_detail": """
 SELECT o.o_orderkey, o.o_orderpriority AS title,
        concat('Order ', CAST(o.o_orderkey AS VARCHAR), ' placed by customer ', CAST(o.o_custkey AS VARCHAR)) AS summary,

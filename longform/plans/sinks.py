@@ -1,5 +1,5 @@
 """Sinks S4-S7: nested JSON exports, one row per story (not a folder per story: no small-file storm), and run
-counters. Exports are chunked by ``chunk_of`` so no exported group holds more than a fixed number of elements."""
+counters. A story's export is one value; ``longform.functions.seq.chunk_of`` is there for chunked ones."""
 
 from __future__ import annotations
 
