@@ -261,12 +261,13 @@ def salvage_json(text: str) -> str | None:
             stack.append("]" if ch == "[" else "}")
             if safe is None:
                 safe = (len(out), "".join(reversed(stack)))
-    if safe is None:
-        return None
-    try:
-        return json.dumps(json.loads("".join(out[:safe[0]]) + safe[1]), ensure_ascii=False, separators=(",", ":"))
-    except ValueError:
-        return None
+    whole = "".join(out).rstrip(", \t\r\n") + "".join(reversed(stack))
+    for fixed in (whole, "".join(out[:safe[0]]) + safe[1] if safe else ""):
+        try:
+            return json.dumps(json.loads(fixed), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            continue
+    return None
 
 
 def salvage(parsed: DataFrame, keys: list[str], text_col: str = "response_text") -> DataFrame:
