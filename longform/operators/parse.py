@@ -1,8 +1,8 @@
 """Response parsing: clean model text to JSON, explode to elements, validate elements against a record spec.
 
 Tier 1 is all JVM: the outermost ``[...]``/``{...}`` span is cut out (drops code fences and chatter) and parsed
-with ``try_parse_json`` to VARIANT. Texts still unparsable go to a salvage pass (``mapInPandas``: close open
-brackets and strings, drop trailing commas); what still fails is quarantined.
+with ``try_parse_json`` to VARIANT. Texts still unparsable are repaired in Arrow batches (close open brackets, drop a
+cut-off element, trailing commas, single quotes, repeated keys) and parsed again; what still fails is quarantined.
 
 Validation follows the record model's lax coercion: a string field takes only JSON strings (a number is rejected);
 a float field takes numbers, numeric strings and booleans; a bool field takes booleans, 0/1 and the usual yes/no
@@ -14,15 +14,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from longform import schemas
 
 SPAN_RE = r"(?s)([\[{].*[\]}])"
+OPENING_RE = re.compile(r"[\[{]")
 TRUE_WORDS = ("true", "yes", "on", "1", "t", "y")
 FALSE_WORDS = ("false", "no", "off", "0", "f", "n")
 NUMBER_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
@@ -171,7 +172,7 @@ def validate(elements: DataFrame, spec: list[tuple[str, str]], keys: list[str])
 def parse_records(responses: DataFrame, keys: list[str], spec: list[tuple[str, str]],
                   text_col: str = "response_text") -> tuple[DataFrame, DataFrame]:
     """(valid elements with typed fields, rejected elements/texts for the quarantine)."""
-    parsed = parse_clean(responses, text_col)
+    parsed = parse_repaired(responses, text_col)
     checked = validate(parse_explode(parsed, keys), spec, keys)
     good = checked.where(F.col("_ok")).drop("_ok", "_reject_reason", "_raw")
     bad_elems = checked.where(~F.col("_ok")).select(*keys, "pos", F.col("_reject_reason").alias("reason"),
@@ -185,7 +186,7 @@ def parse_records(responses: DataFrame, keys: list[str], spec: list[tuple[str, s
 def parse_object(responses: DataFrame, keys: list[str], spec: list[tuple[str, str]], default: tuple,
                  text_col: str = "response_text") -> DataFrame:
     """One object per response; anything that does not validate becomes the default record."""
-    parsed = parse_clean(responses, text_col).withColumn("elem_kind", _kind(F.col("v"))).withColumn(
+    parsed = parse_repaired(responses, text_col).withColumn("elem_kind", _kind(F.col("v"))).withColumn(
         "e", F.col("v"))
     if "pos" not in keys:
         parsed = parsed.withColumn("pos", F.lit(0))
@@ -221,64 +222,83 @@ def passage_text(responses: DataFrame, text_col: str = "response_text") -> DataF
         "empty", F.trim(F.coalesce(F.col(text_col), F.lit(""))) == "")
 
 
-# ---- salvage (per row, only for texts tier 1 could not parse) ----------------------------------------------
-def salvage_json(text: str) -> str | None:
-    """Repair of a cut-off or sloppy JSON text in one pass: trailing commas dropped, and if the text ends early, all after
-    the last complete element dropped and what is open closed. Returns compact JSON text or None."""
-    start = min([i for i in (text.find("["), text.find("{")) if i >= 0], default=-1) if text else -1
-    if start < 0:
-        return None
+# ---- repair (per row, only for texts tier 1 could not parse) -----------------------------------------------
+def _close_span(text: str, start: int) -> tuple[list[str], int]:
+    """Candidate JSON texts for the value that opens at ``start``, and where the scan stopped: strings in either quote,
+    trailing commas dropped; if the text ends early, what is open is closed, or all after the last complete element
+    dropped first."""
     out: list[str] = []
     stack: list[str] = []
     safe: tuple[int, str] | None = None  # length of ``out`` after the last complete element, and what closes it
-    in_str = esc = False
-    for ch in text[start:]:
-        if in_str:
-            out.append(ch)
+    quote, esc, end = "", False, len(text)
+    for i in range(start, len(text)):
+        ch = text[i]
+        if quote:
             if esc:
                 esc = False
+                if ch == "'":  # not an escape of JSON
+                    out[-1] = ch
+                    continue
             elif ch == "\\":
                 esc = True
+            elif ch == quote:
+                quote, ch = "", '"'
             elif ch == '"':
-                in_str = False
+                ch = '\\"'
+            out.append(ch)
             continue
         if ch in "]}":
             while out and out[-1] in ", \t\r\n":
                 out.pop()
             if not stack or stack.pop() != ch:
+                end = i + 1
                 break
             out.append(ch)
             safe = (len(out), "".join(reversed(stack)))
             if not stack:
+                end = i + 1
                 break
             continue
         if ch == "," and stack:
             safe = (len(out), "".join(reversed(stack)))
+        if ch in "\"'":
+            quote, ch = ch, '"'
         out.append(ch)
-        if ch == '"':
-            in_str = True
-        elif ch in "[{":
+        if ch in "[{":
             stack.append("]" if ch == "[" else "}")
             if safe is None:
                 safe = (len(out), "".join(reversed(stack)))
     whole = "".join(out).rstrip(", \t\r\n") + "".join(reversed(stack))
-    for fixed in (whole, "".join(out[:safe[0]]) + safe[1] if safe else ""):
-        try:
-            return json.dumps(json.loads(fixed), ensure_ascii=False, separators=(",", ":"))
-        except ValueError:
-            continue
-    return None
+    return [whole, "".join(out[:safe[0]]) + safe[1] if safe else ""], end
 
 
-def salvage(parsed: DataFrame, keys: list[str], text_col: str = "response_text") -> DataFrame:
-    """Second tier for rows whose span did not parse: repair in Python batches (Arrow), parse again in the JVM."""
-    todo = parsed.where(F.col("v").isNull()).select(*keys, F.col(text_col).alias("_t"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["repaired"] = [salvage_json(t) if isinstance(t, str) else None for t in pdf["_t"]]
-            yield pdf.drop(columns=["_t"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in todo.schema.fields if f.name != "_t")
-    fixed = todo.mapInPandas(run, f"{fields}, repaired string")
-    return fixed.withColumn("v", F.try_parse_json("repaired"))
+def salvage_json(text: str) -> str | None:
+    """Repair of a cut-off or sloppy JSON text in one pass over its bracketed spans: the first span that holds an object
+    (chatter like ``[note]`` is passed over), else the first that parses. Returns compact JSON text or None."""
+    first, pos = None, 0
+    while text and (opening := OPENING_RE.search(text, pos)):
+        candidates, pos = _close_span(text, opening.start())
+        for fixed in candidates:
+            try:
+                value = json.loads(fixed)
+            except (ValueError, RecursionError):
+                continue
+            found = json.dumps(value, separators=(",", ":"))
+            if isinstance(value, dict) or any(isinstance(x, dict) for x in value):
+                return found
+            first = first or found
+            break
+    return first
+
+
+@F.pandas_udf(T.StringType())
+def _repair(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: salvage_json(t) if isinstance(t, str) else None).astype(object)
+
+
+def parse_repaired(responses: DataFrame, text_col: str = "response_text") -> DataFrame:
+    """R1 with repair: as ``parse_clean``, and texts it could not parse are repaired in Arrow batches and parsed again.
+    Texts that did parse cross to Python as nulls. ``repaired`` is the repaired text (null: none was needed or found)."""
+    parsed = parse_clean(responses, text_col)
+    fixed = parsed.withColumn("repaired", _repair(F.when(F.col("v").isNull(), F.col(text_col))))
+    return fixed.withColumn("v", F.coalesce("v", F.try_parse_json("repaired")))

@@ -129,3 +129,25 @@ def test_salvage_cut_off_list():
     fixed = R.salvage_json('[{"a": 1},{"event_id":"E2"')
     assert fixed == '[{"a":1},{"event_id":"E2"}]'
     assert R.salvage_json("no json here") is None
+
+
+def test_repair_of_sloppy_texts(spark):
+    good, bad = _parse(spark, [
+        '[{"event_id": "A", "suggestion": "", "valid": true}, {"event_id": "B", "sugg',   # cut off
+        '[{"event_id": "C", "suggestion": "", "valid": true},]',                           # trailing comma
+        "[{'event_id': 'D', 'suggestion': 'say \"no\"', 'valid': false}]",                 # single quotes
+        '{"event_id": "E", "event_id": "F", "suggestion": "", "valid": true}',             # repeated key
+        'Here [note]: [{"event_id": "G", "suggestion": "", "valid": true}]',               # bracket in chatter
+        'see [1] {"event_id": "H", "suggestion": "it\'s", "valid": true} and [2]',
+        'nothing here', '', None], R.VERDICT_SPEC)
+    rows = {r.event_id: r.suggestion for r in good.collect()}
+    assert sorted(rows) == ["A", "C", "D", "F", "G", "H"]
+    assert rows["D"] == 'say "no"' and rows["H"] == "it's"
+    assert sorted((r.rid, r.reason) for r in bad.collect()) == [
+        (0, "bad suggestion"), (6, "no JSON"), (7, "no JSON"), (8, "no JSON")]
+
+
+def test_object_is_repaired_before_the_default(spark):
+    df = spark.createDataFrame([(1, "{'complete': true, 'reason': 'done',}")], "rid long, response_text string")
+    r = R.parse_completeness(df, ["rid"]).collect()[0]
+    assert (r.parsed_ok, r.complete, r.reason, r.missing_elements) == (True, True, "done", [])
