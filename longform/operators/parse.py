@@ -297,8 +297,11 @@ def _repair(texts: pd.Series) -> pd.Series:
 
 
 def parse_repaired(responses: DataFrame, text_col: str = "response_text") -> DataFrame:
-    """R1 with repair: as ``parse_clean``, and texts it could not parse are repaired in Arrow batches and parsed again.
-    Texts that did parse cross to Python as nulls. ``repaired`` is the repaired text (null: none was needed or found)."""
+    """R1 with repair: as ``parse_clean``; texts it could not parse, or found no object in (the parser stops after a
+    leading ``[1]`` of chatter), are repaired in Arrow batches and parsed again. All other texts cross to Python as
+    nulls. ``repaired`` is the repaired text (null: none was needed or found)."""
     parsed = parse_clean(responses, text_col)
-    fixed = parsed.withColumn("repaired", _repair(F.when(F.col("v").isNull(), F.col(text_col))))
-    return fixed.withColumn("v", F.coalesce("v", F.try_parse_json("repaired")))
+    arr = F.when(_kind(F.col("v")) == "array", F.col("v").cast("array<variant>"))
+    no_object = F.coalesce(F.forall(arr, lambda y: _kind(y) != "object"), F.lit(False))
+    fixed = parsed.withColumn("repaired", _repair(F.when(F.col("v").isNull() | no_object, F.col(text_col))))
+    return fixed.withColumn("v", F.coalesce(F.try_parse_json("repaired"), F.col("v")))
