@@ -37,10 +37,10 @@ FROM (SELECT story_id, parent_event_id, o_seq AS event_seq,
              row_number() OVER (PARTITION BY story_id, o_seq ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos
       FROM fx_sub_events_raw) s""")
 def sub_event_order(spark, sf):
-    from longform.functions.seq import seq_number
+    from longform.functions.seq import window_number
     s = fx(spark, sf).sub_events_raw.select("story_id", "parent_event_id", F.col("o_seq").alias("event_seq"),
                                             "l_linenumber", "l_partkey", "l_suppkey")
-    s = seq_number(s, ["story_id", "event_seq"], ["l_linenumber", "l_partkey", "l_suppkey"], "pos")
+    s = window_number(s, ["story_id", "event_seq"], ["l_linenumber", "l_partkey", "l_suppkey"], "pos")
     return P.sub_event_order(s).select("story_id", "parent_event_id", "event_seq", "pos", "sub_seq")
 
 

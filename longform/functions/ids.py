@@ -2,10 +2,10 @@
 
 Rule (sequential): walk the rows in order; an id already taken gets the smallest free ``<id>_<n>``, n >= 1.
 
-Ids only interact inside a *family*: the id with every trailing ``_<digits>`` stripped (suffixing keeps the
-family). In a family where every natural id equals the family root, the k-th occurrence simply becomes
-``<id>_<k-1>``: a window numbering, no loop. Families holding a natural id that already ends in ``_<digits>``
-are replayed sequentially with ``applyInPandas`` grouped by ``(story, family)``; only those rows travel to Python.
+The k-th occurrence of an id simply becomes ``<id>_<k-1>`` unless that name is also given by the model: two ids never
+generate the same name, so only a given id ``<b>_<n>`` whose ``<b>`` occurs more than ``n`` times makes a hit. Ids
+interact only inside a *family* (the id with every trailing ``_<digits>`` stripped), so families without a hit take
+the occurrence number, and the rows of families with one are replayed in order with ``applyInPandas``.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from longform.functions.seq import seq_number
+from longform.functions.seq import block_of, seq_number
 
 FAMILY_RE = r"(_[0-9]+)+$"
+GENERATED_RE = r"(?s)^(.*)_([1-9][0-9]*)$"
 
 
 def _sequential(id_col: str, out_col: str, order_names: list[str]):
@@ -41,22 +42,27 @@ def _sequential(id_col: str, out_col: str, order_names: list[str]):
     return run
 
 
-def resolve_ids(df: DataFrame, keys: Sequence[str], id_col: str, order: Sequence[str], out_col: str) -> DataFrame:
-    keys, order = list(keys), list(order)
-    fam = df.withColumn("_lf_fam", F.regexp_replace(F.col(id_col), FAMILY_RE, ""))
-    tricky = (fam.groupBy(*keys, "_lf_fam")
-              .agg(F.max((F.col(id_col) != F.col("_lf_fam")).cast("int")).alias("_lf_tricky")))
-    fam = fam.join(tricky, keys + ["_lf_fam"])
-    simple = seq_number(fam.where(F.col("_lf_tricky") == 0), keys + [id_col], order, "_lf_k")
-    simple = simple.withColumn(
-        out_col, F.when(F.col("_lf_k") == 1, F.col(id_col))
-        .otherwise(F.concat(F.col(id_col), F.lit("_"), (F.col("_lf_k") - 1).cast("string")))
-    ).drop("_lf_k", "_lf_fam", "_lf_tricky")
-    hard = fam.where(F.col("_lf_tricky") == 1).drop("_lf_tricky")
-    narrow = hard.select(*keys, "_lf_fam", *order, id_col)
-    schema = T.StructType(narrow.schema.fields + [T.StructField(out_col, T.StringType())])
+def _hit_families(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """Families in which a generated name equals a given id."""
+    n = df.groupBy(*keys, id_col).agg(F.count(F.lit(1)).alias("_lf_n"))
+    given = n.select(*keys, F.col(id_col).alias("_lf_given"),
+                     F.regexp_extract(id_col, GENERATED_RE, 1).alias(id_col),
+                     F.regexp_extract(id_col, GENERATED_RE, 2).try_cast("long").alias("_lf_suffix"))
+    hits = given.where(F.col("_lf_suffix").isNotNull()).join(n, keys + [id_col]).where(F.col("_lf_n") > F.col("_lf_suffix"))
+    return hits.select(*keys, F.regexp_replace("_lf_given", FAMILY_RE, "").alias("_lf_fam")).distinct()
+
+
+def resolve_ids(df: DataFrame, keys: Sequence[str], id_col: str, order: str, out_col: str) -> DataFrame:
+    """Adds ``out_col``, the resolved id. ``order`` is the row's whole-number position within ``keys``."""
+    keys = list(keys)
+    numbered = seq_number(df, keys + [id_col], [order], "_lf_k", block=[block_of(order)])
+    simple = F.when(F.col("_lf_k") == 1, F.col(id_col)).otherwise(
+        F.concat(F.col(id_col), F.lit("_"), (F.col("_lf_k") - 1).cast("string")))
+    narrow = (df.select(*keys, order, id_col, F.regexp_replace(id_col, FAMILY_RE, "").alias("_lf_fam"))
+              .join(_hit_families(df, keys, id_col), keys + ["_lf_fam"], "left_semi"))
+    schema = T.StructType(narrow.schema.fields + [T.StructField("_lf_replayed", T.StringType())])
     replayed = (narrow.groupBy(*keys, "_lf_fam")
-                .applyInPandas(_sequential(id_col, out_col, order), schema)
-                .drop("_lf_fam", id_col))
-    hard = hard.drop("_lf_fam").join(replayed, keys + order)
-    return simple.unionByName(hard)
+                .applyInPandas(_sequential(id_col, "_lf_replayed", [order]), schema)
+                .select(*keys, order, "_lf_replayed"))
+    return (numbered.join(replayed, keys + [order], "left")
+            .select(*df.columns, F.coalesce(F.col("_lf_replayed"), simple).alias(out_col)))

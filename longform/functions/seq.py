@@ -1,13 +1,10 @@
 """Order within a story, computed so that one huge story cannot land in one task.
 
-``seq_number`` is ``row_number() OVER (PARTITION BY keys ORDER BY order)``. A cheap per-key count (partial
-aggregation, so itself skew-free) first finds keys holding more than ``spark.longform.hotKeyRows`` rows (default
-1,000,000). With none, the plain window is used. Otherwise the cold keys keep the window, and the rows of hot keys
-are range-partitioned on ``(keys, order)`` -- a key holding a third of all rows spreads over a third of the tasks --
-and checkpointed to the shared ``spark.checkpoint.dir`` so that the per-block numbering and the block counts come
-from one materialization (range bounds are sampled). Rows are shifted by the counts of the key's earlier blocks;
-only a block that starts a partition has earlier blocks, so the offset table has at most one row per partition
-(proven bound, broadcast). The hot-key table has at most ``rows / hotKeyRows`` rows (broadcast).
+``seq_number`` is ``row_number() OVER (PARTITION BY keys ORDER BY order)`` in two levels: rows are numbered inside a
+*block* of their key (a batch, an event, or ``BLOCK_ROWS`` neighbouring positions; any columns that never decrease
+along the order), and shifted by the counts of the key's earlier blocks. The block counts are a partial aggregation,
+and the prefix sum sees one small row per block, so no window holds more than a block of rows. It is one declarative
+plan for every size: no sampling, no threshold, and no job while a query is built.
 
 Everything else that looks at a neighbour row (``lag``/``lead``) is an equi-join on ``(keys, seq ± 1)``, which
 hash-partitions evenly however big a story is. Running aggregates use fixed-size blocks of ``seq``.
@@ -20,9 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SKEW_SAFE_CONF = "spark.longform.skewSafe"
-HOT_KEY_CONF = "spark.longform.hotKeyRows"
-DEFAULT_HOT_KEY_ROWS = 1_000_000
 BLOCK_ROWS = 4096
 
 
@@ -30,18 +24,9 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def skew_safe(df: DataFrame) -> bool:
-    return df.sparkSession.conf.get(SKEW_SAFE_CONF, "true").lower() == "true"
-
-
-def hot_key_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(HOT_KEY_CONF, str(DEFAULT_HOT_KEY_ROWS)))
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
-    """Keys with more than ``threshold`` rows: at most ``rows / threshold`` of them."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lf_n"))
-            .where(F.col("_lf_n") > threshold).select(*keys))
+def block_of(position: str) -> Column:
+    """Block of a whole-number position: ``BLOCK_ROWS`` neighbouring positions share one."""
+    return F.floor((F.col(position) - 1) / BLOCK_ROWS).cast("long")
 
 
 def window_number(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "seq") -> DataFrame:
@@ -50,33 +35,21 @@ def window_number(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return df.withColumn(name, F.row_number().over(w).cast("long"))
 
 
-def seq_number(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "seq") -> DataFrame:
-    """1-based position of each row within its key, by ``order`` (which must be unique within a key)."""
-    keys = list(keys)
-    order_cols = _cols(order)
-    if not skew_safe(df):
-        return window_number(df, keys, order_cols, name)
-    hot = hot_keys(df, keys, hot_key_rows(df))
-    if hot.isEmpty():
-        return window_number(df, keys, order_cols, name)
-    hot = F.broadcast(hot.withColumn("_lf_hot", F.lit(True)))
-    tagged = df.join(hot, keys, "left")
-    cold = window_number(tagged.where(F.col("_lf_hot").isNull()).drop("_lf_hot"), keys, order_cols, name)
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (tagged.where(F.col("_lf_hot")).drop("_lf_hot")
-              .repartitionByRange(n_parts, *[F.col(k) for k in keys], *order_cols)
-              .withColumn("_lf_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    local = ranged.withColumn(
-        "_lf_ln", F.row_number().over(Window.partitionBy(*keys, "_lf_pid").orderBy(*order_cols)))
-    blocks = local.groupBy(*keys, "_lf_pid").agg(F.max("_lf_ln").alias("_lf_cnt"))
-    before = Window.partitionBy(*keys).orderBy("_lf_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (blocks.select(*keys, "_lf_pid", F.sum("_lf_cnt").over(before).alias("_lf_off"))
-               .where(F.col("_lf_off") > 0))
-    numbered = (local.join(F.broadcast(offsets), keys + ["_lf_pid"], "left")
-                .withColumn(name, (F.col("_lf_ln") + F.coalesce(F.col("_lf_off"), F.lit(0))).cast("long"))
-                .drop("_lf_pid", "_lf_ln", "_lf_off"))
-    return cold.unionByName(numbered)
+def seq_number(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "seq", *,
+               block: Sequence[Column]) -> DataFrame:
+    """1-based position of each row within its key, by ``order`` (which must be unique within a key). ``block`` columns
+    must not decrease along ``order``. Null keys are a key of their own."""
+    keys, columns = list(keys), df.columns
+    blocks = [f"_lf_b{i}" for i in range(len(block))]
+    tagged = df.select("*", *[c.alias(b) for c, b in zip(block, blocks)])
+    local = tagged.withColumn("_lf_ln", F.row_number().over(
+        Window.partitionBy(*keys, *blocks).orderBy(*_cols(order))))
+    counts = tagged.groupBy(*keys, *blocks).agg(F.count(F.lit(1)).alias("_lf_n"))
+    earlier = Window.partitionBy(*keys).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"_lf_o_{c}") for c in keys + blocks],
+                            F.coalesce(F.sum("_lf_n").over(earlier), F.lit(0)).alias("_lf_off"))
+    same = [F.col(c).eqNullSafe(F.col(f"_lf_o_{c}")) for c in keys + blocks]
+    return local.join(offsets, same).select(*columns, (F.col("_lf_ln") + F.col("_lf_off")).cast("long").alias(name))
 
 
 def with_neighbour(df: DataFrame, keys: Sequence[str], seq: str, cols: Sequence[str], step: int = 1,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longform.functions.seq import running_max_before, seq_number, with_neighbour
+from longform.functions.seq import block_of, running_max_before, seq_number, with_neighbour
 from longform.operators.writing import event_adjacency
 
 SENTENCE_SPLIT = r"\. "
@@ -68,7 +68,8 @@ def causal_order(events: DataFrame, relations: DataFrame) -> DataFrame:
 
 def state_transitions(events: DataFrame) -> DataFrame:
     """Q7: a character's state differs from their previous mention's state."""
-    m = seq_number(mentions(events), ["story_id", "name"], ["event_seq", "cpos"], "k")
+    m = seq_number(mentions(events), ["story_id", "name"], ["event_seq", "cpos"], "k",
+                   block=[block_of("event_seq")])
     m = with_neighbour(m, ["story_id", "name"], "k", ["state", "event_seq"], step=-1, suffix="_prev")
     return m.where(F.col("state_prev").isNotNull() & (F.col("state") != F.col("state_prev"))).select(
         "story_id", "name", "event_seq", F.col("event_seq_prev").alias("prev_event_seq"),

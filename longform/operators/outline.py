@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from longform.functions.ids import resolve_ids
 from longform.functions.records import event_json, ordered_list, relation_json
-from longform.functions.seq import seq_number
+from longform.functions.seq import block_of, seq_number
 
 BATCH = ["story_id", "round", "val_iter"]
 
@@ -161,16 +161,17 @@ def append_accepted(accepted: DataFrame, prior: DataFrame | None = None) -> Data
     a = accepted.withColumn("_o1", F.lit(1)).withColumn("_o2", F.col("round")).withColumn(
         "_o3", F.col("val_iter")).withColumn("_o4", F.col("first_pos").cast("long"))
     if prior is not None:
-        p = prior.withColumn("_o1", F.lit(0)).withColumn("_o2", F.lit(-1)).withColumn("_o3", F.lit(-1)).withColumn(
-            "_o4", F.col("event_seq").cast("long")).drop("event_seq")
+        p = prior.withColumn("_o1", F.lit(0)).withColumn("_o2", F.lit(-1)).withColumn(
+            "_o3", block_of("event_seq").cast("int")).withColumn("_o4", F.col("event_seq").cast("long")).drop("event_seq")
         a = a.unionByName(p, allowMissingColumns=True)
-    a = seq_number(a, ["story_id"], ["_o1", "_o2", "_o3", "_o4"], "event_seq")
+    a = seq_number(a, ["story_id"], ["_o4"], "event_seq",
+                   block=[F.col("_o1"), F.col("_o2"), F.col("_o3")])
     return a.drop("_o1", "_o2", "_o3", "_o4")
 
 
 def resolve_event_ids(events: DataFrame) -> DataFrame:
     """Colliding event ids get the smallest free ``_n`` suffix, in ``event_seq`` order."""
-    r = resolve_ids(events, ["story_id"], "event_id", ["event_seq"], "_lf_resolved")
+    r = resolve_ids(events, ["story_id"], "event_id", "event_seq", "_lf_resolved")
     return r.withColumnRenamed("event_id", "natural_id").withColumnRenamed("_lf_resolved", "event_id")
 
 

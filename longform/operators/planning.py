@@ -25,12 +25,12 @@ def parent_override(sub_events: DataFrame) -> DataFrame:
 
 def sub_event_order(sub_events: DataFrame) -> DataFrame:
     """Story-wide order: event order first, then the element position inside the response."""
-    return seq_number(sub_events, ["story_id"], ["event_seq", "pos"], "sub_seq")
+    return seq_number(sub_events, ["story_id"], ["pos"], "sub_seq", block=[F.col("event_seq")])
 
 
 def resolve_sub_event_ids(sub_events: DataFrame) -> DataFrame:
     """Sub-event ids collide across the whole story; resolve in ``sub_seq`` order."""
-    r = resolve_ids(sub_events, ["story_id"], "sub_event_id", ["sub_seq"], "_lf_resolved")
+    r = resolve_ids(sub_events, ["story_id"], "sub_event_id", "sub_seq", "_lf_resolved")
     return (r.withColumnRenamed("sub_event_id", "natural_sub_event_id")
             .withColumnRenamed("_lf_resolved", "sub_event_id"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from longform import schemas
 from longform.functions.records import JSON_OPTS, event_json, ordered_list, ordered_text, sub_event_json
-from longform.functions.seq import seq_number, with_neighbour
+from longform.functions.seq import block_of, seq_number, with_neighbour
 
 NO_MORE_CHAPTERS = "(No more chapters)"  # fixed text the writer sees after the last chapter
 
@@ -29,13 +29,13 @@ def reading_order(chapters: DataFrame) -> DataFrame:
     x = chapters.select("story_id", "chapter_pos", "chapter_id",
                         F.posexplode("sub_event_ids").alias("idx", "sub_event_id"))
     x = x.withColumn("idx", (F.col("idx") + 1).cast("long"))
-    return seq_number(x, ["story_id"], ["chapter_pos", "idx"], "pos")
+    return seq_number(x, ["story_id"], ["idx"], "pos", block=[F.col("chapter_pos")])
 
 
 def next_chapter_title(chapters: DataFrame) -> DataFrame:
     """Title of the next chapter in the (possibly range-filtered) list, or the end marker."""
     c = seq_number(chapters.select("story_id", "chapter_pos", "chapter_id", "title"), ["story_id"],
-                   ["chapter_pos"], "_cpos")
+                   ["chapter_pos"], "_cpos", block=[block_of("chapter_pos")])
     c = with_neighbour(c, ["story_id"], "_cpos", ["title"], step=1)
     return c.select("story_id", "chapter_pos", "chapter_id", "title",
                     F.coalesce(F.col("title_next"), F.lit(NO_MORE_CHAPTERS)).alias("next_title"))
@@ -148,7 +148,8 @@ def context_text(slots: DataFrame, sub_events: DataFrame, events: DataFrame, rel
 def passage_latest(slots: DataFrame) -> DataFrame:
     """When a sub-event is written twice, the later passage replaces the earlier one for readers; both stay
     in their chapters. Gives each slot the previous slot of the same sub-event and whether it is the latest."""
-    k = seq_number(slots.select("story_id", "sub_event_id", "pos"), ["story_id", "sub_event_id"], ["pos"], "_k")
+    k = seq_number(slots.select("story_id", "sub_event_id", "pos"), ["story_id", "sub_event_id"], ["pos"], "_k",
+                   block=[block_of("pos")])
     k = with_neighbour(k, ["story_id", "sub_event_id"], "_k", ["pos"], step=-1, suffix="_prev")
     k = with_neighbour(k, ["story_id", "sub_event_id"], "_k", ["pos"], step=1, suffix="_next")
     return k.select("story_id", "sub_event_id", "pos", F.col("pos_prev").alias("prev_pos"),
@@ -159,7 +160,7 @@ def writing_waves(slots: DataFrame, sub_events: DataFrame) -> DataFrame:
     """Slot ``n`` of a parent event can only be written after slots ``< n`` of that parent; slots of
     different parents never see each other, so wave ``n`` holds the n-th slot of every parent."""
     s = sub_event_lookup(slots, sub_events).select("story_id", "pos", "sub_event_id", "parent_event_id")
-    return seq_number(s, ["story_id", "parent_event_id"], ["pos"], "wave")
+    return seq_number(s, ["story_id", "parent_event_id"], ["pos"], "wave", block=[block_of("pos")])
 
 
 def chapter_text(chapters: DataFrame, passages: DataFrame) -> DataFrame:

@@ -4,28 +4,24 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from longform.functions.ids import resolve_ids
-from longform.functions.seq import HOT_KEY_CONF, seq_number
+from longform.functions.seq import seq_number
 from longform.operators import outline as O
 from longform.operators import parse as R
 from longform.operators import writing as W
 
 
-def test_seq_number_hot_key_path_matches_window(spark):
-    rows = [(1 if i % 10 else 2, i, (i * 7919) % 1000) for i in range(3000)]
+def test_seq_number_matches_window_and_keeps_null_keys(spark):
+    rows = [(1 if i % 10 else (2 if i % 20 else None), i, (i * 7919) % 1000) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, id long, v long")
-    spark.conf.set(HOT_KEY_CONF, "100")
-    try:
-        got = seq_number(df, ["k"], ["v", "id"], "s")
-        want = got.withColumn("w", F.row_number().over(Window.partitionBy("k").orderBy("v", "id")))
-        assert got.count() == 3000
-        assert want.where("s != w").count() == 0
-    finally:
-        spark.conf.unset(HOT_KEY_CONF)
+    got = seq_number(df, ["k"], ["v", "id"], "s", block=[F.floor(F.col("v") / 100)])
+    want = got.withColumn("w", F.row_number().over(Window.partitionBy("k").orderBy("v", "id")))
+    assert got.count() == 3000
+    assert want.where("s != w").count() == 0
 
 
 def _resolve(spark, ids):
     df = spark.createDataFrame([(1, i, e) for i, e in enumerate(ids)], "story_id long, seq long, event_id string")
-    r = resolve_ids(df, ["story_id"], "event_id", ["seq"], "out")
+    r = resolve_ids(df, ["story_id"], "event_id", "seq", "out")
     return [x.out for x in r.orderBy("seq").collect()]
 
 
@@ -33,6 +29,8 @@ def test_id_suffix_with_natural_suffix(spark):
     assert _resolve(spark, ["E1", "E1", "E1_1"]) == ["E1", "E1_1", "E1_1_1"]
     assert _resolve(spark, ["E1_1", "E1", "E1"]) == ["E1_1", "E1", "E1_2"]
     assert _resolve(spark, ["E2", "E2", "E2"]) == ["E2", "E2_1", "E2_2"]
+    assert _resolve(spark, ["event_1", "event_2", "event_1", "event", "event"]) == [
+        "event_1", "event_2", "event_1_1", "event", "event_3"]
 
 
 def test_same_id_twice_in_batch_last_wins_first_position(spark):
