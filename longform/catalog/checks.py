@@ -1,4 +1,4 @@
-"""Quality check queries (Q1, Q2, Q4-Q7, Q9-Q18, Q21-Q25)."""
+"""Quality check queries (Q1, Q2, Q4-Q25)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from longform.catalog import register
 from longform.catalog.common import K_CANDIDATES, fx
 from longform.catalog.outline import Q_VALID_REL
+from longform.catalog.writing import Q_SIBS
 from longform.operators import checks as Q
 from longform.operators import outline as O
 from longform.operators import writing as W
@@ -235,3 +236,53 @@ JOIN (SELECT story_id, sub_event_id, {TOK.format(x='summary')} AS want FROM fx_s
 def chk_realization(spark, sf):
     f = fx(spark, sf)
     return Q.realization(f.passages, f.sub_events)
+
+
+@register("chk_near_duplicates", f"""
+WITH q_w AS (SELECT story_id, event_seq, event_id,
+                    {TOK.format(x="concat_ws(' ', title, summary, location, goal, conflict)")} AS w FROM fx_events),
+q_p AS (SELECT a.story_id, a.event_id AS event_a, b.event_id AS event_b, len(a.w) + len(b.w) AS total,
+               len(list_intersect(a.w, b.w)) AS shared
+        FROM q_w a JOIN q_w b ON b.story_id = a.story_id AND b.event_seq > a.event_seq)
+SELECT story_id, event_a, event_b, shared, total - shared AS words FROM q_p WHERE shared * 10 > (total - shared) * 8""")
+def chk_near_duplicates(spark, sf):
+    return Q.near_duplicate_events(fx(spark, sf).events)
+
+
+def _siblings(spark, sf):
+    f = fx(spark, sf)
+    slots = W.reading_order(f.chapters).select("story_id", "pos", "sub_event_id")
+    return slots, W.context_siblings(slots, f.sub_events, f.events, f.passages)
+
+
+Q_HISTORY = Q_SIBS.strip() + """,
+q_hist AS (SELECT q.story_id, q.pos, q.sub_event_id, q.sibling_seq, p.raw_text AS history FROM q_sibs q
+           JOIN fx_passages p ON p.story_id = q.story_id AND p.pos = q.visible_pos)"""
+
+
+@register("extract_summary", "WITH " + Q_HISTORY + f""",
+q_sent AS (SELECT *, unnest(string_split(history, '. ')) AS sentence,
+                  unnest(range(0, len(string_split(history, '. ')))) AS idx FROM q_hist),
+q_want AS (SELECT story_id, sub_event_id, {TOK.format(x="concat_ws(' ', title, summary)")} AS want FROM fx_sub_events),
+q_score AS (SELECT q.*, len(w.want) AS n, len(list_intersect({TOK.format(x='q.sentence')}, w.want)) AS shared
+            FROM q_sent q JOIN q_want w USING (story_id, sub_event_id)),
+q_top AS (SELECT *, row_number() OVER (PARTITION BY story_id, pos ORDER BY shared DESC, sibling_seq, idx) AS k
+          FROM q_score WHERE shared > 0)
+SELECT story_id, pos, count(*) AS n_sentences, string_agg(sentence, ' | ' ORDER BY sibling_seq, idx) AS summary,
+       max(shared / n) AS relevance FROM q_top WHERE k <= 3 GROUP BY story_id, pos""")
+def extract_summary(spark, sf):
+    f = fx(spark, sf)
+    slots, sib = _siblings(spark, sf)
+    return Q.extract_summary(sib, f.passages, slots, f.sub_events)
+
+
+@register("chk_summary_new_facts", "WITH " + Q_HISTORY + f""",
+q_known AS (SELECT DISTINCT story_id, pos, unnest({TOK.format(x='history')}) AS word FROM q_hist),
+q_said AS (SELECT story_id, pos, unnest({TOK.format(x='summary_text')}) AS word FROM fx_passages),
+q_n AS (SELECT s.story_id, s.pos, count(*) AS n_words, count(*) - count(k.word) AS n_new FROM q_said s
+        LEFT JOIN q_known k ON k.story_id = s.story_id AND k.pos = s.pos AND k.word = s.word
+        GROUP BY s.story_id, s.pos)
+SELECT story_id, pos, n_words, n_new, n_new / n_words AS new_share FROM q_n""")
+def chk_summary_new_facts(spark, sf):
+    _, sib = _siblings(spark, sf)
+    return Q.summary_new_facts(sib, fx(spark, sf).passages)

@@ -48,20 +48,25 @@ SUB_JSON_SQL = ("to_json({'sub_event_id': s.sub_event_id, 'parent_event_id': s.p
                 "'title': s.title, 'summary': s.summary, 'characters': s.characters})")
 
 
-@register("story_plan", "WITH " + Q_GRAPH.strip() + f""",
+Q_PLAN = Q_GRAPH.strip() + f""",
 q_se AS (SELECT story_id, count(*) AS n_sub_events,
                 string_agg({SUB_JSON_SQL}, ',' ORDER BY s.sub_seq) AS se_json
          FROM fx_sub_events s GROUP BY story_id),
 q_ch AS (SELECT story_id, count(*) AS n_chapters,
                 string_agg(to_json({{'chapter_id': c.chapter_id, 'title': c.title, 'summary': c.summary,
                                     'sub_event_ids': c.sub_event_ids}}), ',' ORDER BY c.chapter_pos) AS ch_json
-         FROM fx_chapters c GROUP BY story_id)
-SELECT s.story_id, g.n_nodes, g.n_edges, coalesce(se.n_sub_events, 0) AS n_sub_events,
-       coalesce(ch.n_chapters, 0) AS n_chapters,
-       md5(concat('{{"premise":', to_json(s.premise), ',"event_graph":', g.graph_json, ',"sub_events":[',
-                  coalesce(se.se_json, ''), '],"chapters":[', coalesce(ch.ch_json, ''), ']}}')) AS plan_md5
-FROM fx_stories s JOIN q_graph g ON g.story_id = s.story_id
-LEFT JOIN q_se se ON se.story_id = s.story_id LEFT JOIN q_ch ch ON ch.story_id = s.story_id""")
+         FROM fx_chapters c GROUP BY story_id),
+q_plan AS (
+  SELECT s.story_id, g.n_nodes, g.n_edges, coalesce(se.n_sub_events, 0) AS n_sub_events,
+         coalesce(ch.n_chapters, 0) AS n_chapters,
+         concat('{{"premise":', to_json(s.premise), ',"event_graph":', g.graph_json, ',"sub_events":[',
+                coalesce(se.se_json, ''), '],"chapters":[', coalesce(ch.ch_json, ''), ']}}') AS plan_json
+  FROM fx_stories s JOIN q_graph g ON g.story_id = s.story_id
+  LEFT JOIN q_se se ON se.story_id = s.story_id LEFT JOIN q_ch ch ON ch.story_id = s.story_id)"""
+
+
+@register("story_plan", "WITH " + Q_PLAN + """
+SELECT story_id, n_nodes, n_edges, n_sub_events, n_chapters, md5(plan_json) AS plan_md5 FROM q_plan""")
 def story_plan(spark, sf):
     f = fx(spark, sf)
     p = P.story_plan(f.stories, graph_frame(spark, sf), f.sub_events, f.chapters)

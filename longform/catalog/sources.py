@@ -1,4 +1,4 @@
-"""Source and sink queries."""
+"""Source and sink queries."""
 
 from __future__ import annotations
 
@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from longform.catalog import register
 from longform.catalog.common import RUN_ID, fx
 from longform.catalog.outline import Q_GRAPH, graph_frame
+from longform.catalog.planning import Q_PLAN
+from longform.catalog.writing import Q_CHAPTERS
+from longform.operators import writing as W
+from longform.operators.planning import story_plan as story_plan_frame
 from longform.plans import sinks as S
 from longform.sources import premises as P
 
@@ -46,3 +50,18 @@ def run_counters(spark, sf):
         c = d.groupBy("story_id").agg(F.count(F.lit(1)).alias("n")).withColumn("stage", F.lit(name))
         counts = c if counts is None else counts.unionByName(c)
     return S.run_counters(counts).select("stage", "story_id", "n")
+
+
+@register("sink_plan", "WITH " + Q_PLAN.strip() + "\nSELECT story_id, plan_json FROM q_plan")
+def sink_plan(spark, sf):
+    f = fx(spark, sf)
+    return S.plan_rows(story_plan_frame(f.stories, graph_frame(spark, sf), f.sub_events, f.chapters))
+
+
+@register("sink_chapters", "WITH " + Q_CHAPTERS.strip() + """
+SELECT s.story_id, concat('[', coalesce(c.body, ''), ']') AS chapters_json
+FROM fx_stories s LEFT JOIN (SELECT story_id, string_agg(chapter_json, ',' ORDER BY chapter_pos) AS body
+                             FROM q_chapter GROUP BY story_id) c ON c.story_id = s.story_id""")
+def sink_chapters(spark, sf):
+    f = fx(spark, sf)
+    return S.chapter_rows(f.stories, W.chapter_text(f.chapters, f.passages))

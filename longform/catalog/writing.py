@@ -137,14 +137,17 @@ def context_siblings(spark, sf):
                     "visible_pos")
 
 
-@register("context_text", "WITH " + Q_SIBS.strip() + """,
+Q_CONTEXT = Q_SIBS.strip() + """,
 q_parts AS (
   SELECT story_id, pos, 0 AS part, 0 AS seq, 0 AS sub, parent_json AS text FROM q_parent WHERE parent_json IS NOT NULL
   UNION ALL SELECT story_id, pos, 1, neighbour_seq, 0, neighbour_json FROM q_neigh
   UNION ALL SELECT story_id, pos, 2, sibling_seq, 0, sibling_json FROM q_sibs
   UNION ALL SELECT story_id, pos, 2, sibling_seq, 1, visible_json FROM q_sibs WHERE visible_json IS NOT NULL),
 q_ctx AS (SELECT story_id, pos, string_agg(text, chr(10) ORDER BY part, seq, sub) AS context FROM q_parts
-          GROUP BY story_id, pos)
+          GROUP BY story_id, pos)"""
+
+
+@register("context_text", "WITH " + Q_CONTEXT + """
 SELECT p.story_id, p.pos, p.sub_event_id, md5(coalesce(c.context, '')) AS context_md5,
        length(coalesce(c.context, '')) AS context_len
 FROM q_parent p LEFT JOIN q_ctx c ON c.story_id = p.story_id AND c.pos = p.pos""")
@@ -180,15 +183,19 @@ def passage_record(spark, sf):
     return p.select("story_id", "pos", W.passage_json(False).alias("passage_json"))
 
 
-@register("chapter_text", f"""
-WITH q_p AS (SELECT story_id, chapter_pos, count(*) AS n_passages,
+Q_CHAPTERS = f"""
+q_p AS (SELECT story_id, chapter_pos, count(*) AS n_passages,
                     string_agg({PASSAGE_JSON_SQL}, ',' ORDER BY p.pos) AS pj
-             FROM fx_passages p GROUP BY story_id, chapter_pos)
-SELECT c.story_id, c.chapter_pos, c.chapter_id, coalesce(q.n_passages, 0) AS n_passages,
-       concat('{{"chapter_id":', CAST(c.chapter_id AS VARCHAR), ',"title":', to_json(c.title), ',"summary":',
-              to_json(c.summary), ',"sub_event_ids":', to_json(c.sub_event_ids), ',"passages":[',
-              coalesce(q.pj, ''), ']}}') AS chapter_json
-FROM fx_chapters c LEFT JOIN q_p q ON q.story_id = c.story_id AND q.chapter_pos = c.chapter_pos""")
+             FROM fx_passages p GROUP BY story_id, chapter_pos),
+q_chapter AS (
+  SELECT c.story_id, c.chapter_pos, c.chapter_id, coalesce(q.n_passages, 0) AS n_passages,
+         concat('{{"chapter_id":', CAST(c.chapter_id AS VARCHAR), ',"title":', to_json(c.title), ',"summary":',
+                to_json(c.summary), ',"sub_event_ids":', to_json(c.sub_event_ids), ',"passages":[',
+                coalesce(q.pj, ''), ']}}') AS chapter_json
+  FROM fx_chapters c LEFT JOIN q_p q ON q.story_id = c.story_id AND q.chapter_pos = c.chapter_pos)"""
+
+
+@register("chapter_text", "WITH " + Q_CHAPTERS.strip() + "\nSELECT * FROM q_chapter")
 def chapter_text(spark, sf):
     f = fx(spark, sf)
     c = W.chapter_text(f.chapters, f.passages)

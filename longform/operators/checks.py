@@ -6,9 +6,10 @@ Per-character and per-story checks avoid windows over whole groups where a group
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from longform.functions.records import ordered_text
 from longform.functions.seq import block_of, running_max_before, seq_number, with_neighbour
 from longform.operators.writing import event_adjacency
 
@@ -199,3 +200,67 @@ def realization(passages: DataFrame, sub_events: DataFrame) -> DataFrame:
     j = p.join(s, ["story_id", "sub_event_id"])
     return j.select("story_id", "pos", F.round(F.size(F.array_intersect("want", "have")) / F.size("want"), 6)
                     .alias("coverage"))
+
+
+def near_duplicate_events(events: DataFrame, min_num: int = 8, min_den: int = 10) -> DataFrame:
+    """Q8: pairs of events of a story whose word sets have a Jaccard similarity above ``min_num / min_den``.
+
+    Exact prefix filter: a pair that similar shares one of the ``n - ceil(t * n) + 1`` rarest words of each, so only
+    those are joined; the share is then counted on the whole sets, in integers.
+    """
+    words = tokens(F.concat_ws(" ", "title", "summary", "location", "goal", "conflict"))
+    e = events.select("story_id", "event_seq", "event_id", words.alias("words"))
+    w = e.select("story_id", "event_seq", F.explode("words").alias("word"))
+    df = w.groupBy("story_id", "word").agg(F.count(F.lit(1)).alias("df"))
+    ranked = (w.join(df, ["story_id", "word"]).groupBy("story_id", "event_seq")
+              .agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r")))
+    n = F.size("r")
+    prefix = F.slice("r", 1, n - F.floor((n * min_num + min_den - 1) / min_den).cast("int") + 1)
+    p = ranked.select("story_id", "event_seq", F.explode(prefix).alias("x")).select("story_id", "event_seq", "x.word")
+    pairs = (p.withColumnRenamed("event_seq", "seq_a").join(p.withColumnRenamed("event_seq", "seq_b"),
+                                                            ["story_id", "word"])
+             .where("seq_a < seq_b").select("story_id", "seq_a", "seq_b").distinct())
+    a = e.select("story_id", F.col("event_seq").alias("seq_a"), F.col("event_id").alias("event_a"),
+                 F.col("words").alias("wa"))
+    b = e.select("story_id", F.col("event_seq").alias("seq_b"), F.col("event_id").alias("event_b"),
+                 F.col("words").alias("wb"))
+    both = pairs.join(a, ["story_id", "seq_a"]).join(b, ["story_id", "seq_b"]).withColumn(
+        "shared", F.size(F.array_intersect("wa", "wb")).cast("long"))
+    both = both.withColumn("words", F.size("wa").cast("long") + F.size("wb").cast("long") - F.col("shared"))
+    return (both.where(F.col("shared") * min_den > F.col("words") * min_num)
+            .select("story_id", "event_a", "event_b", "shared", "words"))
+
+
+def _history(siblings: DataFrame, passages: DataFrame) -> DataFrame:
+    """Raw texts that a slot can look back on: the visible passage of each sibling."""
+    p = passages.select("story_id", F.col("pos").alias("visible_pos"), F.col("raw_text").alias("history"))
+    return (siblings.where(F.col("visible_pos").isNotNull()).select("story_id", "pos", "sibling_seq", "visible_pos")
+            .join(p, ["story_id", "visible_pos"]))
+
+
+def extract_summary(siblings: DataFrame, passages: DataFrame, slots: DataFrame, sub_events: DataFrame,
+                    k: int = 3) -> DataFrame:
+    """Q19: for each slot with a history, its ``k`` sentences that share most words with the slot's sub-event, in
+    reading order, and the best sentence's share of the sub-event's words (the report's limit is the feature)."""
+    want = (slots.select("story_id", "pos", "sub_event_id").join(sub_events, ["story_id", "sub_event_id"])
+            .select("story_id", "pos", tokens(F.concat_ws(" ", "title", "summary")).alias("want")))
+    s = _history(siblings, passages).select("story_id", "pos", "sibling_seq",
+                                            F.posexplode(F.split("history", SENTENCE_SPLIT)).alias("idx", "sentence"))
+    s = s.join(want, ["story_id", "pos"]).withColumn(
+        "shared", F.size(F.array_intersect(tokens(F.col("sentence")), "want"))).where("shared > 0")
+    order = Window.partitionBy("story_id", "pos").orderBy(F.desc("shared"), "sibling_seq", "idx")
+    top = s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.groupBy("story_id", "pos").agg(
+        F.count(F.lit(1)).alias("n_sentences"),
+        ordered_text(F.col("sentence"), F.struct("sibling_seq", "idx"), " | ").alias("summary"),
+        F.max(F.col("shared") / F.size("want")).alias("relevance"))
+
+
+def summary_new_facts(siblings: DataFrame, passages: DataFrame) -> DataFrame:
+    """Q20: how many words of a slot's summary its history does not hold (all of them without a history)."""
+    said = passages.select("story_id", "pos", F.explode(tokens(F.col("summary_text"))).alias("word"))
+    known = (_history(siblings, passages).select("story_id", "pos", F.explode(tokens(F.col("history"))).alias("word"))
+             .distinct().withColumn("known", F.lit(1)))
+    g = said.join(known, ["story_id", "pos", "word"], "left").groupBy("story_id", "pos").agg(
+        F.count(F.lit(1)).alias("n_words"), (F.count(F.lit(1)) - F.count("known")).alias("n_new"))
+    return g.withColumn("new_share", F.col("n_new") / F.col("n_words"))

@@ -138,3 +138,57 @@ def req_write(stories: DataFrame, slots: DataFrame, summaries: DataFrame, titles
                          "chapter": F.col("chapter_title"), "next_chapter": F.col("next_title"),
                          "sub_event": F.col("sub_json")})
     return with_hash(s.select("story_id", "pos", p.alias("prompt")), "write")
+
+
+def _prefix_text(batches: DataFrame, events: DataFrame, before) -> DataFrame:
+    """``batches`` with ``events``: the JSON lines of their story's accepted events for which ``before`` holds.
+
+    ``batches`` are the distinct request keys. The accepted prefix is part of every request by definition, so the
+    join emits as many rows as the requests have lines.
+    """
+    keys = batches.columns
+    e = events.select("story_id", F.col("event_seq").alias("_seq"), F.col("round").alias("_round"),
+                      F.col("val_iter").alias("_val_iter"), event_json().alias("_json"))
+    text = (batches.join(e, "story_id").where(before)
+            .groupBy(*keys).agg(ordered_text(F.col("_json"), F.col("_seq"), "\n").alias("events")))
+    return batches.join(text, keys, "left")
+
+
+def req_seed(stories: DataFrame, accepted: DataFrame, completeness: DataFrame, k: int) -> DataFrame:
+    """One request for each round whose outline is still open: the events accepted in earlier rounds, why it is
+    open and what is missing. ``accepted`` carries ``round`` and ``val_iter``."""
+    open_ = completeness.where(~F.col("complete")).select("story_id", "round", "reason", "missing_elements")
+    text = _prefix_text(open_.select("story_id", "round").distinct(), accepted, F.col("_round") < F.col("round"))
+    s = open_.join(text, ["story_id", "round"]).join(stories, "story_id")
+    p = render("seed", {"premise": F.col("premise"), "events": F.col("events"), "reason": F.col("reason"),
+                        "missing": F.col("missing_elements"), "k": F.lit(k)})
+    return with_hash(s.select("story_id", "round", p.alias("prompt")), "seed")
+
+
+def req_revise(stories: DataFrame, accepted: DataFrame, rejected: DataFrame, max_val: int) -> DataFrame:
+    """T4: one request for each batch with rejected candidates (O9 rows, whole records), with the remarks and the events
+    accepted up to and in that pass. The last pass asks for none: its revision would never be validated."""
+    batch = ["story_id", "round", "val_iter"]
+    todo = rejected.where(F.col("val_iter") + 1 < max_val)
+    remark = F.concat_ws(": ", "event_id", "suggestion")
+    lists = todo.groupBy(*batch).agg(ordered_text(event_json(), F.col("first_pos"), "\n").alias("candidates"),
+                                     ordered_text(remark, F.col("first_pos"), "\n").alias("feedback"))
+    upto = (F.col("_round") < F.col("round")) | ((F.col("_round") == F.col("round"))
+                                                 & (F.col("_val_iter") <= F.col("val_iter")))
+    s = lists.join(_prefix_text(lists.select(*batch), accepted, upto), batch).join(stories, "story_id")
+    p = render("revise", {"premise": F.col("premise"), "events": F.col("events"), "feedback": F.col("feedback"),
+                          "candidates": F.col("candidates")})
+    return with_hash(s.select(*batch, p.alias("prompt")), "revise")
+
+
+def req_revise_passage(stories: DataFrame, graph_json: DataFrame, passages: DataFrame,
+                       sub_events: DataFrame) -> DataFrame:
+    """Draft, scene, summary, graph and premise of each written slot; the graph is kept once per story and joined
+    in last."""
+    se = sub_events.select("story_id", "sub_event_id", sub_event_json().alias("sub_json"))
+    s = (passages.select("story_id", "pos", "sub_event_id", "raw_text", "summary_text")
+         .join(se, ["story_id", "sub_event_id"]).join(stories, "story_id").join(graph_json, "story_id"))
+    p = render("revise_passage", {"premise": F.col("premise"), "graph": F.col("graph_json"),
+                                  "sub_event": F.col("sub_json"), "summary": F.col("summary_text"),
+                                  "raw_text": F.col("raw_text")})
+    return with_hash(s.select("story_id", "pos", p.alias("prompt")), "revise_passage")

@@ -1,11 +1,12 @@
 """Sinks S4-S7: nested JSON exports, one row per story (not a folder per story: no small-file storm), and run
-counters. A story's export is one value; ``longform.functions.seq.chunk_of`` is there for chunked ones."""
+counters. A story's export is one value by definition."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longform.functions.records import ordered_text
 from longform.schemas import PASSAGE_TS_FORMAT
 
 
@@ -28,3 +29,19 @@ def passage_timestamp(ts: F.Column) -> F.Column:
 def run_counters(counts: DataFrame) -> DataFrame:
     """Counts per (stage, story) with per-stage and overall totals (rollup)."""
     return counts.rollup("stage", "story_id").agg(F.sum("n").alias("n"))
+
+
+def plan_rows(plan: DataFrame) -> DataFrame:
+    """``(story_id, plan_json)`` from the story plan."""
+    return plan.select("story_id", F.to_json(F.struct("premise", "event_graph", "sub_events", "chapters"),
+                                             {"ignoreNullFields": "false"}).alias("plan_json"))
+
+
+def chapter_rows(stories: DataFrame, chapters: DataFrame) -> DataFrame:
+    """``(story_id, chapters_json)`` from the chapters with their passages (W17); a story without chapters has an
+    empty list."""
+    one = F.to_json(F.struct("chapter_id", "title", "summary", "sub_event_ids", "passages"),
+                    {"ignoreNullFields": "false"})
+    c = chapters.groupBy("story_id").agg(ordered_text(one, F.col("chapter_pos"), ",").alias("body"))
+    return stories.select("story_id").join(c, "story_id", "left").select(
+        "story_id", F.concat(F.lit("["), F.coalesce("body", F.lit("")), F.lit("]")).alias("chapters_json"))
