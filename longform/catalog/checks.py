@@ -286,3 +286,16 @@ SELECT story_id, pos, n_words, n_new, n_new / n_words AS new_share FROM q_n""")
 def chk_summary_new_facts(spark, sf):
     _, sib = _siblings(spark, sf)
     return Q.summary_new_facts(sib, fx(spark, sf).passages)
+
+
+@register("chk_causal_chain", "WITH RECURSIVE " + Q_VALID_REL.strip() + """,
+q_link AS (SELECT DISTINCT r.story_id, a.event_seq AS seq_from, b.event_seq AS seq_to FROM q_valid_rel r
+           JOIN fx_events a ON a.story_id = r.story_id AND a.event_id = r.source_event_id
+           JOIN fx_events b ON b.story_id = r.story_id AND b.event_id = r.target_event_id
+           WHERE r.type = 'causal' AND a.event_seq < b.event_seq),
+q_chain AS (SELECT story_id, seq_from AS seq_at, CAST(0 AS BIGINT) AS n FROM q_link
+            UNION SELECT c.story_id, l.seq_to, c.n + 1 FROM q_chain c
+            JOIN q_link l ON l.story_id = c.story_id AND l.seq_from = c.seq_at)
+SELECT story_id, max(n) AS n_links, max(n) + 1 AS n_events FROM q_chain GROUP BY story_id""")
+def chk_causal_chain(spark, sf):
+    return Q.causal_chain(_rel(spark, sf), fx(spark, sf).events)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from longform.functions.records import ordered_text
 from longform.functions.seq import block_of, running_max_before, seq_number, with_neighbour
 from longform.operators.writing import event_adjacency
+from longform.session import checkpoint_dir
 
 SENTENCE_SPLIT = r"\. "
 TOKEN_SPLIT = "[^a-z0-9]+"
@@ -264,3 +265,30 @@ def summary_new_facts(siblings: DataFrame, passages: DataFrame) -> DataFrame:
     g = said.join(known, ["story_id", "pos", "word"], "left").groupBy("story_id", "pos").agg(
         F.count(F.lit(1)).alias("n_words"), (F.count(F.lit(1)) - F.count("known")).alias("n_new"))
     return g.withColumn("new_share", F.col("n_new") / F.col("n_words"))
+
+
+def causal_chain(relations: DataFrame, events: DataFrame) -> DataFrame:
+    """Q3: the longest chain of causal links of each story that has one, over links that point forward in the outline.
+
+    Round ``n`` holds the events that some chain of ``n`` links ends in, so rows stay within the events and no path is
+    listed. Rounds go on until none is left (links point forward, so they end) and are written to the shared checkpoint
+    folder; the driver sees whether a round is empty.
+    """
+    checkpoint_dir(events.sparkSession)
+    seq = events.select("story_id", "event_id", "event_seq")
+    links = (relations.where(F.col("type") == "causal")
+             .join(seq.select("story_id", F.col("event_id").alias("source_event_id"), F.col("event_seq").alias("at")),
+                   ["story_id", "source_event_id"])
+             .join(seq.select("story_id", F.col("event_id").alias("target_event_id"), F.col("event_seq").alias("to")),
+                   ["story_id", "target_event_id"])
+             .where(F.col("at") < F.col("to")).select("story_id", "at", "to").distinct().checkpoint())
+    ends = links.select("story_id", "at").distinct()
+    best = links.select("story_id").distinct().withColumn("n_links", F.lit(0).cast("long"))
+    n = 0
+    while True:
+        ends = ends.join(links, ["story_id", "at"]).select("story_id", F.col("to").alias("at")).distinct().checkpoint()
+        if ends.isEmpty():
+            return best.withColumn("n_events", F.col("n_links") + 1)
+        n += 1
+        best = (best.unionByName(ends.select("story_id").distinct().withColumn("n_links", F.lit(n).cast("long")))
+                .groupBy("story_id").agg(F.max("n_links").alias("n_links")).checkpoint())

@@ -188,6 +188,8 @@ def with_fixtures(body: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return body
     parts = [f"{n} AS ({ctes[n].strip()})" for n in order]
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:].lstrip()
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:].lstrip()
     return "WITH " + ",\n".join(parts) + "\n" + body

@@ -149,3 +149,34 @@ def test_object_is_repaired_before_the_default(spark):
     df = spark.createDataFrame([(1, "{'complete': true, 'reason': 'done',}")], "rid long, response_text string")
     r = R.parse_completeness(df, ["rid"]).collect()[0]
     assert (r.parsed_ok, r.complete, r.reason, r.missing_elements) == (True, True, "done", [])
+
+
+def test_near_duplicate_events_match_brute_force(spark):
+    from longform.operators.checks import near_duplicate_events
+    rows = [(1, i, f"e{i}", "storm at sea", " ".join(f"w{j}" for j in range(i % 4, 14 + i % 3)), "port", "", None)
+            for i in range(1, 13)] + [(2, 1, "e1", "", "", "", "", ""), (2, 2, "e2", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "story_id long, event_seq long, event_id string, title string, summary string, "
+                                     "location string, goal string, conflict string")
+    got = {(r.story_id, r.event_a, r.event_b, r.shared, r.words) for r in near_duplicate_events(df).collect()}
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1]:
+                x, y = (set(" ".join(t or "" for t in r[3:]).split()) for r in (a, b))
+                if 10 * len(x & y) > 8 * len(x | y):
+                    want.add((a[0], a[2], b[2], len(x & y), len(x | y)))
+    assert got == want and want
+
+
+def test_causal_chain_counts_the_longest_forward_chain(spark):
+    from longform.operators.checks import causal_chain
+    events = spark.createDataFrame([(s, f"e{i}", i) for s in (1, 2, 3) for i in range(1, 6)],
+                                   "story_id long, event_id string, event_seq long")
+    rel = spark.createDataFrame(
+        [(1, "causal", "e1", "e2"), (1, "causal", "e2", "e4"), (1, "causal", "e4", "e1"), (1, "causal", "e1", "e4"),
+         (1, "causal", "e4", "e5"), (1, "causal", "e4", "e5"), (2, "temporal", "e1", "e2"), (2, "causal", "e3", "e3"),
+         (3, "causal", "e1", "e5"), (3, "causal", "e1", None)],
+        "story_id long, type string, source_event_id string, target_event_id string")
+    got = {r.story_id: (r.n_links, r.n_events) for r in causal_chain(rel, events).collect()}
+    assert got == {1: (3, 4), 3: (1, 2)}
+    assert causal_chain(rel.where("false"), events).count() == 0
