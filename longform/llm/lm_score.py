@@ -3,12 +3,18 @@
 Tokens are lower-cased words. The most frequent words of the whole corpus have ids of their own, all others share hash
 buckets. The network sees the embeddings of ``SIDE`` tokens on either side of a position, never the token itself, and
 gives its probability as that of the id's upper half times that of its lower half given the upper one. A document's
-score is the sum over all of its tokens of their conditional log probabilities.
+score is the sum over all of its tokens of their conditional log probabilities. A word without an id of its own has the
+probability of its bucket times its share of the bucket's tokens, ``count(word) / count(bucket)``, over the whole corpus,
+so that the probabilities of all words of the corpus add up to one.
+
+The counts of all words are a table that grows with the corpus. The ``LOCAL`` most frequent words are looked up in the
+scoring tasks; all others are counted within each document and joined with the table by word. A word that is joined is
+at most one token in ``LOCAL``, so no word makes a join task large.
 
 Training covers every token of every document once. Documents are dealt into ``rounds`` by a hash; in each round every
 task goes on from the shared weights over its documents of the round, and the results are averaged, weighted by tokens,
 with a Spark aggregate over blocks of weights. Word counts and weight sums grow with the corpus; the driver sees the
-vocabulary and one set of weights.
+``LOCAL`` words, the tokens of each bucket and one set of weights.
 """
 
 from __future__ import annotations
@@ -22,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longform.llm.common import byte_texts, chunks, small_batches
+from longform.llm.common import byte_texts, chunks, materialize, small_batches
 
 HALF = 32
 VOCABULARY = HALF * HALF
 BUCKETS = 128
+LOCAL = 8192
 SIDE = 2
 EMBED = 8
 HIDDEN = 24
@@ -142,8 +149,8 @@ def _src(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
-    """The most frequent words over all documents, ties by their bytes."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(word, n)``: every word of all documents with its number of tokens."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +169,28 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
                     yield flush()
         yield flush()
 
-    top = (docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n bigint")
-           .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS))
-    return [bytes(r[0]) for r in top.collect()]
+    return (docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n bigint")
+            .groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def most_frequent(counts: DataFrame, n: int) -> list[tuple[bytes, int]]:
+    """The most frequent words and their counts, ties by their bytes."""
+    return [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(n).collect()]
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
+    """The words that have ids of their own."""
+    return [w for w, _ in most_frequent(word_counts(docs, text_col), VOCABULARY - BUCKETS)]
+
+
+def bucket_sizes(counts: DataFrame, top: list[tuple[bytes, int]]) -> np.ndarray:
+    """Tokens of each bucket: of all words but those with ids of their own."""
+    sizes = np.zeros(BUCKETS, np.int64)
+    for b, n in counts.groupBy((F.crc32("word") % BUCKETS).alias("b")).agg(F.sum("n")).collect():
+        sizes[b] = n
+    for w, n in top[:VOCABULARY - BUCKETS]:
+        sizes[zlib.crc32(w) % BUCKETS] -= n
+    return sizes
 
 
 def train(docs: DataFrame, words: list[bytes], text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
@@ -202,28 +228,62 @@ def train(docs: DataFrame, words: list[bytes], text_col: str = "text", rounds: i
     return flat
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS,
+                      local: int = LOCAL) -> DataFrame:
     """``(doc_id, n_tokens, log_prob, mean_log_prob)``, one row per row of ``docs``.
 
     Null and empty texts have no tokens: sum 0 and a null mean. Whole texts are read and scored; other columns are not
-    read. An empty table trains nothing and returns nothing.
+    read. An empty table trains nothing and returns nothing. Of the words without an id the first ``local`` words by
+    count are looked up in place and all others joined, with the same result.
     """
     src = _src(docs, id_col, text_col)
-    words = vocabulary(src)
+    counts = materialize(word_counts(src))
+    top = most_frequent(counts, max(local, VOCABULARY - BUCKETS))
+    words = [w for w, _ in top[:VOCABULARY - BUCKETS]]
+    sizes = bucket_sizes(counts, top)
+    # Log share of the bucket; words with an id have one of their own.
+    near = {w: 0.0 if i < len(words) else float(np.log(n / sizes[zlib.crc32(w) % BUCKETS])) for i, (w, n) in enumerate(top)}
     flat = train(src, words, rounds=rounds)
     id_type = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A document's rows are its joined words; the first one has its sums, with a word of blanks if there is none."""
         net, known = WindowNet(flat), Vocabulary(words)
         for rb in batches:
             texts = byte_texts(rb.column("text"))
-            n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for s, e in chunks(texts, 1 << 20):
                 ids, at, text = tokens(texts[s:e], known)
-                n[s:e] = np.bincount(text, minlength=e - s)
-                total[s:e] = np.bincount(text, net.log_prob(ids, at), e - s)
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(n), pa.array(total)],
-                                             ["doc_id", "n_tokens", "log_prob"])
-
-    return (src.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, log_prob double")
+                n = np.bincount(text, minlength=e - s)
+                total = np.bincount(text, net.log_prob(ids, at), e - s)
+                far, times, sums = [], [], []
+                for i, t in enumerate(texts[s:e]):
+                    seen = Counter(t.lower().split())
+                    own = [(w, c) for w, c in seen.items() if w not in near]
+                    total[i] += sum(near[w] * c for w, c in seen.items() if w in near)
+                    if not own:
+                        own = [(f" {rb.column('hash')[s + i]} {rb.column('doc_id')[s + i]}".encode(), 0)]
+                    far += [w for w, _ in own]
+                    times += [c for _, c in own]
+                    sums.append(len(own))
+                row = np.repeat(np.arange(e - s), sums)
+                first = np.zeros(len(row), bool)
+                first[np.cumsum(sums) - np.array(sums)] = True
+                index = pa.array(row + s)
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column("doc_id").take(index), rb.column("hash").take(index), pa.array(first.astype(np.int64)),
+                     pa.array(np.where(first, n[row], 0)), pa.array(np.where(first, total[row], 0.0)),
+                     pa.array(far, pa.binary()), pa.array(times, pa.int64())],
+                    ["doc_id", "hash", "copies", "n_tokens", "log_prob", "word", "times"])
+
+    rows = src.withColumn("hash", F.xxhash64("text")).mapInArrow(
+        run, f"doc_id {id_type}, hash bigint, copies bigint, n_tokens bigint, log_prob double, word binary, times bigint")
+    size = F.element_at(F.array(*[F.lit(int(x)) for x in sizes]), (F.crc32("word") % BUCKETS + 1).cast("int"))
+    share = counts.select("word", F.log(F.col("n") / F.greatest(size, F.lit(1))).alias("share"))
+    # Rows of equal id and text have equal sums: one group, given out as often as it occurs.
+    return (rows.join(share, "word", "left")
+            .withColumn("log_prob", F.col("log_prob") + F.when(F.col("times") > 0, F.col("times") * F.col("share")).otherwise(0.0))
+            .groupBy("doc_id", "hash").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "log_prob")])
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+            .select("doc_id", F.expr("n_tokens div copies").alias("n_tokens"),
+                    (F.col("log_prob") / F.col("copies")).alias("log_prob"))
             .withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))))

@@ -1,11 +1,13 @@
 """Window network: gradients by finite differences, probabilities, and what training does."""
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 
 from longform.llm.lm_score import (BUCKETS, HALF, SIDE, VOCABULARY, Vocabulary, WindowNet, initial, pseudo_likelihood, tokens,
-                                   vocabulary)
+                                   train, vocabulary)
 
 SCHEMA = "doc_id bigint, text string, log_prob string, n_tokens string, word string, n int"
 
@@ -70,3 +72,35 @@ def test_scores(spark):
     assert good > bad + 0.3 and good > np.log(1 / 16)
     assert abs(by[7]["log_prob"] / by[7]["n_tokens"] - by[7]["mean_log_prob"]) < 1e-9
     assert vocabulary(df)[:16] and pseudo_likelihood(df.limit(0)).count() == 0
+
+
+def test_words_of_a_bucket_have_probabilities_of_their_own(spark):
+    """Two words of one bucket differ by the log ratio of their counts, looked up or joined; sums equal brute force."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(VOCABULARY - BUCKETS)]
+    rare = [f"r{i}" for i in range(3000)]
+    bucket = {}
+    for w in rare:
+        bucket.setdefault(zlib.crc32(w.encode()) % BUCKETS, []).append(w)
+    often, once = next(b for b in bucket.values() if len(b) > 1)[:2]
+    texts = [" ".join(common) for _ in range(40)] + [" ".join(rng.sample(rare, 300)) for _ in range(20)]
+    texts += [f"{often} {often}"] * 7 + [f"c1 c2 {often} c3 c4", f"c1 c2 {once} c3 c4", "c1 c2", None, f"{once} {once}"]
+    df = spark.createDataFrame([(i, t, "l", "n", "w", 1) for i, t in enumerate(texts)], SCHEMA)
+    counts = Counter(w for t in texts for w in (t or "").split())
+    top = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY - BUCKETS]}
+    size = Counter()
+    for w, n in counts.items():
+        if w not in top:
+            size[zlib.crc32(w.encode()) % BUCKETS] += n
+    out = [{r["doc_id"]: r for r in pseudo_likelihood(df, local=n).collect()} for n in (0, 1500, 8192)]
+    n = len(texts)
+    words = vocabulary(df)
+    net, known = WindowNet(train(df, words)), Vocabulary(words)
+    for by in out:
+        assert len(by) == n
+        assert abs(by[n - 5]["log_prob"] - by[n - 4]["log_prob"] - np.log(counts[often] / counts[once])) < 1e-6
+        for i, t in enumerate(texts):
+            ids, at, _ = tokens([(t or "").encode()], known)
+            want = net.log_prob(ids, at).sum() + sum(np.log(counts[w] / size[zlib.crc32(w.encode()) % BUCKETS])
+                                                     for w in (t or "").split() if w not in top)
+            assert abs(by[i]["log_prob"] - want) < 1e-3 + 1e-5 * abs(want)
