@@ -1,6 +1,6 @@
 """Format-preserving Feistel pseudonyms for personal data, in DataFrame functions only.
 
-Values are found by one pattern and validated: payment cards by their Luhn digit, IBANs by mod 97, IPv4 octets, calendar
+Values are found by one pattern, tried at every position, and validated; the leftmost valid ones are kept: payment cards by their Luhn digit, IBANs by mod 97, IPv4 octets, calendar
 dates from 1900 to 2099, social security numbers by their assigned ranges, telephone numbers and e-mail addresses by
 form. A value's variable parts become symbols with a modulus each (a digit 10, a letter 26, an octet 256, a date one
 index of 73,049 = 17 x 4297 days), and a keyed Feistel network permutes them: in turn each half is shifted, symbol by
@@ -29,9 +29,16 @@ YMD = r"\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}"
 DMY = r"\d{1,2}-\d{1,2}-\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 PHONE = (r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{1,3}(?:-\d{2,4}){2,4}|\+\d{1,3}(?: \d{2,4}){2,4}"
-         r"|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}")
+         r"|\+\d{8,15}|\d{3} \d{3} \d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}")
+# Groups of 1 to 6 digits by one separator; 7 to 15 digits in all, which is tested after the match.
+GROUPS = "|".join(rf"\+\d{{1,3}}(?:{sep}\d{{1,6}}){{2,6}}" for sep in (" ", "-", r"\."))
 CARD = r"\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19}"
-PATTERN = EMAIL + "|" + _LEFT + "(?:" + "|".join((IBAN, IP, YMD, DMY, SSN, PHONE, CARD)) + ")" + _RIGHT
+_TIME = r"(?=[Tt]\d{2}:?\d{2})"
+PATTERN = (EMAIL + "|" + _LEFT + "(?:(?:" + YMD + ")" + _TIME + "|(?:" + "|".join((IBAN, IP, YMD, DMY, SSN, GROUPS, PHONE, CARD))
+           + ")" + _RIGHT + ")")
+# A match at every position, also inside other matches.
+AHEAD = "(?=(" + PATTERN + "))"
+BLOCK = 512
 DAY_PARTS = (17, 4297)
 FIRST_DAY = "1900-01-01"
 
@@ -233,6 +240,7 @@ def kind_of(value: Column) -> Column:
                   .when(_date(d, y, m).isNotNull(), F.lit("month_first")))
             .when(_is(value, SSN), F.when(ssn_valid(value), F.lit("ssn")))
             .when(_is(value, PHONE), F.lit("phone"))
+            .when(_is(value, GROUPS), F.when(F.length(_digits(value)).between(7, 15), F.lit("phone")))
             .when(luhn_valid(_digits(value)), F.lit("card")))
 
 
@@ -245,14 +253,54 @@ def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
             .when(kind == "phone", _phone(value, key)).when(kind == "card", _card(value, key)).otherwise(value))
 
 
+def _valid(value: Column) -> Column:
+    """``struct<v, k>``: the value and its kind; of an IBAN or telephone form that fails, the longest valid part from its
+    start that ends at a separator. ``k`` is null if nothing is valid."""
+    def shorter(v: Column) -> Column:
+        ends = F.filter(F.sequence(F.length(v) - 1, F.lit(1), F.lit(-1)),
+                        lambda n: F.substr(v, n + 1, F.lit(1)).rlike("[ .-]") & ~F.substr(v, n, F.lit(1)).rlike("[ .-]"))
+        parts = F.transform(ends, lambda n: _let(F.substr(v, F.lit(1), n), lambda p: F.struct(
+            p.alias("v"), F.when(_is(p, IBAN + "|" + GROUPS + "|" + PHONE), kind_of(p)).alias("k"))))
+        return F.coalesce(F.try_element_at(F.filter(parts, lambda x: x["k"].isNotNull()), F.lit(1)),
+                          F.struct(v.alias("v"), F.lit(None).cast("string").alias("k")))
+    return _let(value, lambda v: _let(kind_of(v), lambda k: F.when(
+        k.isNull() & v.rlike(r"^(?:[A-Z]{2}\d|\+)") & (F.length(v) > 2), shorter(v)).otherwise(
+        F.struct(v.alias("v"), k.alias("k")))))
+
+
 def _rewrite(text: Column, key: str) -> Column:
-    """``struct<text, found>``: the text with its values replaced, and the number of values replaced."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)),
-                        lambda v: _let(kind_of(v), lambda k: F.struct(pseudonym(v, k, key).alias("v"), k.alias("k"))))
-    gaps = F.split(text, PATTERN, -1)
-    done = _let(found, lambda f: F.struct(
-        F.array_join(F.zip_with(gaps, f, lambda g, x: F.concat(g, F.coalesce(x["v"], F.lit("")))), "").alias("text"),
-        F.size(F.filter(f, lambda x: x["k"].isNotNull())).cast("long").alias("found")))
+    """``struct<text, found>``: the text with its values replaced, and the number of values replaced.
+
+    The text is cut at every position where a form begins; a form that is valid and does not begin inside the valid one
+    kept before it is replaced. The state of the fold is the number of characters that the kept value still covers.
+    """
+    starts = F.transform(F.regexp_extract_all(text, F.lit(AHEAD), F.lit(1)), lambda c: _let(_valid(c), lambda x: F.struct(
+        F.length(x["v"]).alias("n"), pseudonym(x["v"], x["k"], key).alias("v"), x["k"].alias("k"))))
+    # A line feed before the text makes the first piece the one before all forms.
+    pieces = F.split(F.concat(F.lit("\n"), text), AHEAD, -1)
+
+    def state(covered: Column, found: Column, out: Column) -> Column:
+        return F.struct(covered.cast("int").alias("covered"), found.cast("long").alias("found"), out.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        size = F.length(x["piece"])
+        keep = (s["covered"] == 0) & x["k"].isNotNull()
+        over = F.when(keep, x["n"]).otherwise(s["covered"])
+        left = F.substr(x["piece"], over + 1)
+        return state(F.greatest(over - size, F.lit(0)), s["found"] + keep.cast("long"), F.concat(
+            s["out"], F.array(F.when(keep, F.concat(x["v"], left)).otherwise(left))))
+
+    nothing = F.array().cast("array<string>")
+
+    def fold(all_: Column) -> Column:
+        def block(s: Column, at: Column) -> Column:
+            return _let(F.aggregate(F.slice(all_, at, BLOCK), state(s["covered"], s["found"], nothing), step),
+                        lambda d: state(d["covered"], d["found"], F.concat(s["out"], F.array(F.array_join(d["out"], "")))))
+        return F.aggregate(F.sequence(F.lit(1), F.size(all_), F.lit(BLOCK)), state(F.lit(0), F.lit(0), nothing), block)
+
+    done = _let(pieces, lambda ps: _let(F.zip_with(F.slice(ps, F.lit(2), F.size(ps) - 1), starts, lambda p, x: F.struct(
+        p.alias("piece"), x["n"].alias("n"), x["v"].alias("v"), x["k"].alias("k"))), lambda xs: _let(fold(xs), lambda s: F.struct(
+            F.concat(F.substr(F.element_at(ps, 1), F.lit(2)), F.array_join(s["out"], "")).alias("text"), s["found"].alias("found")))))
     return F.when(text.rlike(PATTERN), done).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("found")))
 
 

@@ -140,3 +140,21 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "a.b@c.de", "x", "y", 1)], SCHEMA)
     assert pseudonymize(df).columns == df.columns and pseudonymize(df.limit(0)).count() == 0
     assert pseudonymize(df).drop("text").collect() == df.drop("text").collect()
+
+
+def test_values_inside_and_after_forms_that_fail(spark):
+    c = "4111 1111 1111 1111"
+    i = "ES91 2100 0418 4502 0005 1332"
+    groups = ["+44 7911 123456", "+33 6 12 34 56 78"]
+    local = "555 123 4567"
+    d = date(datetime.date(2024, 3, 5)).isoformat()
+    cases = [(f"in 2021 {c} paid", f"in 2021 {card(c)} paid"), (f"{i} EUR", f"{iban(i)} EUR"),
+             (f"REF AB12 {i} PAID EUR", f"REF AB12 {iban(i)} PAID EUR"), (f"{c} 2021", f"{card(c)} 2021"),
+             ("2024-03-05T10:00:00Z", f"{d}T10:00:00Z"),
+             (local, refill(local, chars("5551234567", "phone")))]
+    for g in groups:
+        country, rest = g.split(" ", 1)
+        cases.append((f"call {g}.", f"call {country} " + refill(rest, chars(re.sub("[^0-9]", "", rest), "phone")) + "."))
+    assert rewrite(spark, [a for a, _ in cases]) == [(b, 1) for _, b in cases]
+    many = " ; ".join(f"2021 {c}" for _ in range(1500))
+    assert rewrite(spark, [many]) == [(" ; ".join(f"2021 {card(c)}" for _ in range(1500)), 1500)]
