@@ -6,7 +6,7 @@ response is kept, and a softmax layer turns these into language probabilities; a
 probability of all of its windows. As a filter is a sum of one table entry for each position, widths are evaluated from
 tables of symbol pairs: two look-ups for width 4.
 
-Training uses at most ``MAX_TRAIN_DOCS`` labelled documents, the first by a hash of their id and text for each language,
+Training uses at most ``MAX_TRAIN_DOCS`` labelled documents (one a language if there are more languages), the first by a hash of their id and text for each language,
 and ``WINDOWS_PER_DOC`` windows of each at places drawn by a hash.
 """
 
@@ -140,16 +140,21 @@ class ByteConvNet:
 
 
 def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> ByteConvNet | None:
-    """Fit on ``(text, lang)``: at most ``max_docs`` documents, as many of each language; ``None`` without any."""
-    langs = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
-    if not langs:
+    """Fit on ``(text, lang)``: at most ``max_docs`` documents, as many of each language; ``None`` without any.
+
+    Every language is learned, with one document each if there are more than ``max_docs``.
+    """
+    # Hash ranges keep the rows that reach the per-language choice bounded: about eight times what is kept, and always
+    # the first text of a language. The counts have one row a label, as the network has.
+    labelled = labelled.withColumn("draw", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first"))
+    n_langs = counts.count()
+    if not n_langs:
         return None
-    share = max(1, max_docs // len(langs))
-    # Hash ranges keep the rows that reach the per-language choice bounded: about eight times what is kept.
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = max(1, max_docs // n_langs)
     order = F.xxhash64("text")
-    some = (labelled.join(F.broadcast(counts.limit(256)), "lang")
-            .where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) * F.col("n") <= F.lit(8 * share << 30))
+    some = (labelled.join(F.broadcast(counts), "lang")
+            .where((F.col("draw") * F.col("n") <= F.lit(8 * share << 30)) | (F.col("draw") == F.col("first")))
             .select("lang", "text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order))
     start = F.pmod(F.xxhash64("i", "text"), F.greatest(F.floor(F.length("text") / WINDOW), F.lit(1))) * WINDOW + 1
@@ -159,7 +164,8 @@ def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> ByteConvNet |
             .orderBy("lang", "text").collect())
     labels = sorted({r["lang"] for r in rows})
     x, text = windows([r["text"].encode() for r in rows])
-    y = np.array([labels.index(r["lang"]) for r in rows])[text]
+    place = {lang: i for i, lang in enumerate(labels)}
+    y = np.array([place[r["lang"]] for r in rows])[text]
     return ByteConvNet(labels).fit(x, y)
 
 
@@ -182,7 +188,9 @@ def predict(docs: DataFrame, net: ByteConvNet | None, text_col: str = "text", ke
             for s, e in chunks(texts, 1 << 20) if net else ():
                 x, at = windows(texts[s:e])
                 total = np.zeros((e - s, len(net.labels)))
-                np.add.at(total, at, net.log_prob(x))
+                step = max(1, (1 << 20) // len(net.labels))
+                for w in range(0, len(x), step):
+                    np.add.at(total, at[w:w + step], net.log_prob(x[w:w + step]))
                 total /= np.bincount(at, minlength=e - s)[:, None]
                 p = np.exp(total - total.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)

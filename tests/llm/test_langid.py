@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from longform.llm.common import crc_fold
-from longform.llm.langid import FILTERS, WIDTHS, WINDOW, ByteConvNet, identify, windows
+from longform.llm.langid import FILTERS, WIDTHS, WINDOW, ByteConvNet, identify, train, windows
 
 SCHEMA = "doc_id bigint, text string, lang string, held_out string, score string, lang_pred string"
 SYLLABLES = {"en": ["th", "er", "ing", "and", "ou"], "de": ["sch", "ung", "ein", "ü", "ß"], "fr": ["eau", "que", "é", "ç", "oi"]}
@@ -49,3 +49,10 @@ def test_pooling_equals_plain_convolution():
     for k, w in enumerate(WIDTHS):
         plain = np.max([sum(net.tables[k][o][x[:, t + o]] for o in range(w)) for t in range(WINDOW)], axis=0)
         assert np.allclose(vals[:, k * FILTERS:(k + 1) * FILTERS], plain, atol=1e-5)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"word {i} of it", f"l{i:03d}") for i in range(300)] + [("the same text", "copies")] * 200
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert train(df, max_docs=100).labels == sorted({lang for _, lang in rows})
+    assert train(df.limit(0)) is None
