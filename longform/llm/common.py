@@ -37,6 +37,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
+    """Bound the bytes that one Arrow batch hands to Python; a longer row is a batch of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(key, None)
+    if have is None or not have.isdigit() or int(have) > limit:
+        spark.conf.set(key, str(limit))
+    small_batches(spark)
+
+
 def crc_fold(id_col: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (null ids: as the empty text)."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -48,8 +57,8 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
-    """Runs [start, end) of whole texts of about ``limit`` bytes; a longer text is a run of its own."""
+def chunks(texts: list[bytes] | list[str], limit: int) -> Iterator[tuple[int, int]]:
+    """Runs [start, end) of whole texts of about ``limit`` bytes (of strings: characters); a longer text is a run of its own."""
     start = size = 0
     for i, t in enumerate(texts):
         if i > start and size + len(t) > limit:

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: each applies its operator to its whole table."""
+"""Registered queries of the operators: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longform.llm import chat, decontam, embedding_dedup, langid, lm_score, mixing, pii, simhash, toxicity, warc
+from longform.llm import (chat, decontam, embedding_dedup, langid, lm_score, mixing, packing, pii, simhash,
+                          toxicity, warc)
 from longform.llm.common import crc_fold, shared_path, table
 
 
@@ -69,6 +70,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), crc_fold("doc_id", 5) == 0)
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 # Escaping of the chat template, as in chat.CONTROL.
 _ESCAPE = r"regexp_replace({0}, '([<\[])(\\*)(\||/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g')"
 
@@ -146,7 +152,7 @@ FROM drawn"""
 
 OPERATORS = (op1_embedding_near_dedup, op2_chat_formatting, op3_simhash_near_dedup, op4_toxicity, op5_pii_pseudonyms,
              op6_benchmark_decontamination, op7_warc_bundles, op8_source_mixing, op9_masked_pseudo_likelihood,
-             op10_language_id)
+             op10_language_id, op12_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
