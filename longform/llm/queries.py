@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longform.llm import (chat, decontam, embedding_dedup, langid, lm_score, mixing, packing, pii, simhash,
-                          toxicity, warc)
+                          token_align, toxicity, warc)
 from longform.llm.common import crc_fold, shared_path, table
 
 
@@ -75,6 +75,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_documents(table(spark, sf_dir, "documents"))
+
+
 # Escaping of the chat template, as in chat.CONTROL.
 _ESCAPE = r"regexp_replace({0}, '([<\[])(\\*)(\||/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g')"
 
@@ -152,7 +156,7 @@ FROM drawn"""
 
 OPERATORS = (op1_embedding_near_dedup, op2_chat_formatting, op3_simhash_near_dedup, op4_toxicity, op5_pii_pseudonyms,
              op6_benchmark_decontamination, op7_warc_bundles, op8_source_mixing, op9_masked_pseudo_likelihood,
-             op10_language_id, op12_packing)
+             op10_language_id, op12_packing, op13_cross_tokenizer_alignment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
