@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longform.llm import (chat, decontam, embedding_dedup, langid, lm_score, mixing, packing, pii, simhash,
-                          token_align, toxicity, warc)
+from longform.llm import (chat, decontam, embedding_dedup, langid, lm_score, mixing, packing, pii,
+                          ranked_search, simhash, token_align, toxicity, warc)
 from longform.llm.common import crc_fold, shared_path, table
 
 
@@ -70,6 +70,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), crc_fold("doc_id", 5) == 0)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -154,9 +158,29 @@ SELECT doc_id, size, source_size, target,
   size * (CAST(floor(rate) AS BIGINT) + CASE WHEN draw < (rate - floor(rate)) * 4503599627370496.0 THEN 1 ELSE 0 END) AS taken
 FROM drawn"""
 
+OP11_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 'q', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark),
+totals AS (SELECT count(*) AS n_docs, CAST(coalesce(sum(len(w)), 0) AS BIGINT) AS total
+           FROM words WHERE side = 'd' AND len(w) > 0),
+query AS (SELECT DISTINCT id AS item_id, unnest(w) AS t FROM words WHERE side = 'q'),
+held AS (SELECT id AS doc_id, len(w) AS n, unnest(w) AS t FROM words WHERE side = 'd'),
+post AS (SELECT doc_id, n, t, count(*) AS tf FROM held WHERE t IN (SELECT t FROM query) GROUP BY doc_id, n, t),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM post, totals GROUP BY t, n_docs),
+impact AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total))) AS x
+           FROM post JOIN weights USING (t), totals),
+score AS (SELECT item_id, doc_id, CAST(sum(x) AS BIGINT) AS score FROM query JOIN impact USING (t) GROUP BY ALL),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+                  doc_id, score FROM score WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10"""
+
 OPERATORS = (op1_embedding_near_dedup, op2_chat_formatting, op3_simhash_near_dedup, op4_toxicity, op5_pii_pseudonyms,
              op6_benchmark_decontamination, op7_warc_bundles, op8_source_mixing, op9_masked_pseudo_likelihood,
-             op10_language_id, op12_packing, op13_cross_tokenizer_alignment)
+             op10_language_id, op11_ranked_search, op12_packing, op13_cross_tokenizer_alignment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -165,4 +189,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_chat_formatting": OP2_SQL, "op6_benchmark_decontamination": OP6_SQL, "op7_warc_bundles": OP7_SQL,
-            "op8_source_mixing": OP8_SQL}
+            "op8_source_mixing": OP8_SQL, "op11_ranked_search": OP11_SQL}
