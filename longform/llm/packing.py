@@ -171,7 +171,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str =
             keys, texts = rb.column("doc_id").to_pylist(), [t or "" for t in rb.column("text").to_pylist()]
             for s, e in chunks(texts, 4 << 20):
                 full = []
-                for key, ids in zip(keys[s:e], bpe.encode_all(texts[s:e])):
+                for key, ids in zip(keys[s:e], map(bpe.encode, texts[s:e])):
                     ids += end
                     doc, n = len(names), len(ids) // 4
                     names.append(key)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longform.llm.common import bounded_batches, chunks, materialize
-from longform.llm.tokens import MAX_WORDS, byte_bpe, public_path
+from longform.llm.tokens import MAX_WORDS, PLAIN, byte_bpe, public_path
 
 BLOCK_LINKS = 1 << 20
 BLOCK_DOCS = 1 << 14
@@ -99,6 +99,7 @@ class Aligner:
         """Numbers of the words of each (non-empty) text."""
         split = [t.split(" ") if self.by_word else [t] for t in texts]
         new = [w for w in set().union(*split) if w not in self.number and self.bpe.splits(w)] if self.by_word else []
+        new.sort(key=lambda w: PLAIN.fullmatch(w) is None)  # words of the faster encoder are joined apart
         for w, a, b in zip(new, self.bpe.encode_words(new), self.pieces.encode(new, num_threads=1) if new else []):
             self.number[w] = self.add(w, a, b)
         out = []

@@ -1,20 +1,26 @@
-"""Ids of public tokenizers, word by word.
+"""Ids of a byte-level BPE tokenizer file.
 
-A byte-level BPE whose pre-tokenizer splits at white space never merges across the start of a blank that follows
-anything but white space, so a text is encoded as its blank-separated words, each with the blank before it, and a word's ids
-are kept for the next time (a bounded dictionary per worker). Texts for which this does not hold (white space other
-than single blanks before a blank, special tokens, very long words) are encoded whole. The ids are those of one call over
-the whole text in either case.
+Texts of Latin letters, digits, ASCII signs and plain white space go through the rank encoder of ``tiktoken``, with ranks read
+from the same file: where the file's merges make its tokens in the order of their ids, both libraries give the same
+ids, and the rank encoder needs a third of the time. All other texts, and those that hold a special token's string,
+are encoded by ``tokenizers``.
+
+The pre-tokenizer splits at white space, so no token crosses the start of a blank that follows a word: a text can also be
+encoded as its blank-separated words, each with the blank before it (``splits`` tells for which words this holds).
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
 MAX_WORDS = 400_000
+# Characters whose kind (letter, digit, sign, white space) is the same in every version of Unicode.
+PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed: the byte-level splitter
 LONG_WORD = 256
 JOINED = 4096
 
@@ -53,11 +59,25 @@ class ByteBpe:
             self.bytes_of[i] = (bytes(decode[c] for c in token) if all(c in decode for c in token)
                                 else token.encode("utf-8"))
         self.starts = np.array([b[:1] == b" " for b in self.bytes_of])
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.ranks = self._rank_encoder(spec, vocab) if self.by_word else None
+
+    def _rank_encoder(self, spec: dict, vocab: dict[str, int]):
+        """The rank encoder of the same vocabulary, if the merges make the tokens in the order of their ids."""
+        import tiktoken
+        merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in spec["model"]["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:])) or merged[:1] == [-1]:
+            return None
+        added = {t["id"] for t in spec.get("added_tokens", [])}
+        ranks = {b: i for i, b in enumerate(self.bytes_of) if i not in added}
+        return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of one text, encoded whole."""
+        """Little-endian unsigned 32-bit ids of a text."""
+        if self.ranks and PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
+            try:
+                return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # its splitter gives up on very long runs of white space
+                pass
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def splits(self, word: str) -> bool:
@@ -68,38 +88,15 @@ class ByteBpe:
         out: list[bytes] = []
         for i in range(0, len(words), JOINED):
             some = words[i:i + JOINED]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
-            first = np.flatnonzero(self.starts[ids])
+            raw = self.encode(" " + " ".join(some))
+            first = np.flatnonzero(self.starts[np.frombuffer(raw, "<u4")])
             if len(first) == len(some):
-                raw, cuts = ids.tobytes(), [*(first * 4).tolist(), len(ids) * 4]
+                cuts = [*(first * 4).tolist(), len(raw)]
                 out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
             else:
                 out += [self.encode(" " + w) for w in some]
         return out
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as bytes."""
-        if not self.by_word:
-            return [self.encode(t) for t in texts]
-        split = [t.split(" ") for t in texts]
-        need = set().union(*(s[1:] for s in split)) if split else set()
-        if len(self.tails) + len(need) > MAX_WORDS:
-            self.tails.clear()
-        if len(self.heads) > MAX_WORDS:
-            self.heads.clear()
-        new = [w for w in need if w not in self.tails and self.splits(w)]
-        self.tails.update(zip(new, self.encode_words(new)))
-        for s in split:
-            if s[0] not in self.heads and (not s[0] or self.splits(s[0])):
-                self.heads[s[0]] = self.encode(s[0])
-        out = []
-        for t, s in zip(texts, split):
-            try:
-                out.append(b"".join([self.heads[s[0]], *map(self.tails.__getitem__, s[1:])]))
-            except KeyError:
-                out.append(self.encode(t))
-        return out
-
 
 _LOADED: dict[tuple[str, bool], ByteBpe] = {}
 

@@ -20,12 +20,30 @@ def direct():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
-def test_words_give_the_ids_of_the_whole_text(direct):
+def test_ids_of_texts_and_words(direct):
     bpe, rng = byte_bpe(public_path("byte_bpe_50k.json")), random.Random(3)
-    alphabet = ["a", "b", "'s", "9", ".", " ", " ", "  ", "\n", "\t", " ", "ß", "好", "᠎", "\x1c", "<|endoftext|>"]
+    alphabet = ["a", "b", "'s", "9", ".", " ", " ", "  ", "\n", "\t", "\xa0", "ß", "好", "᠎", "\x1c", "<|endoftext|>"]
     texts = [t or "" for t in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(3000)]
-    for text, ids in zip(texts, bpe.encode_all(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() + [0] == direct(text), repr(text)
+    texts += [" " * 400000 + "x", " \n" * 300000]
+    for text in texts:
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() + [0] == direct(text), repr(text)[:80]
+    words = sorted({w for t in texts for w in t.split(" ") if bpe.splits(w)})
+    for w, ids in zip(words, bpe.encode_words(words)):
+        assert np.frombuffer(ids, "<u4").tolist() + [0] == direct(" " + w), repr(w)
+
+
+def test_both_encoders_agree_on_every_text(direct):
+    """All texts and all words of a table, and random letters, through the rank encoder and the file's own library."""
+    import duckdb
+    bpe, rng = byte_bpe(public_path("byte_bpe_50k.json")), random.Random(4)
+    assert bpe.ranks is not None
+    texts = [r[0] or "" for r in duckdb.sql("SELECT text FROM read_parquet('/root/testdata/sf0.01/documents.parquet')").fetchall()]
+    latin = [chr(c) for c in (*range(33, 127), *range(161, 592))]
+    texts += ["".join(rng.choices(latin, k=rng.randrange(30))) for _ in range(20000)]
+    texts += ["".join(rng.choices("etaoinshr", k=rng.randrange(30))) for _ in range(20000)]
+    ids = bpe.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for t, e in zip(texts, ids):
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == e.ids, repr(t)[:80]
 
 
 def test_best_fit_equals_a_plain_search():
