@@ -2,8 +2,8 @@
 
 Both id lists are laid over the same bytes. The cumulative ends of either side are kept in an end-to-index dictionary; the
 intersection of their keys, sorted, cuts both lists into groups, and the links of a group are its pairs of tokens whose byte
-ranges overlap. Neither tokenizer merges across a blank that follows a word, so texts are aligned word by word and a word's
-alignment is kept; texts with other white space are aligned whole, in the same way.
+ranges overlap. Neither tokenizer merges across a blank that follows a word, so the new words of a batch are laid end to end
+and aligned together, and a word's alignment is kept; texts with other white space are aligned whole, in the same way.
 
 How many documents hold an id pair linked is counted over the corpus: tasks write blocks of documents with the distinct
 pairs of each block, pairs are summed and the best of each first id found by joins on the pair, and the answers go back
@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longform.llm.common import bounded_batches, chunks, materialize
-from longform.llm.tokens import MAX_WORDS, PLAIN, byte_bpe, public_path
+from longform.llm.tokens import JOINED, LONG_WORD, MAX_WORDS, PLAIN, byte_bpe, public_path
 
 BLOCK_LINKS = 1 << 20
 BLOCK_DOCS = 1 << 14
@@ -39,24 +39,21 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace(BLANK, " ").encode("utf-8")
 
 
-Group = tuple[int, int, int, int]
+def common_slices(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """The common ends of two token lists over the same bytes, sorted, and how many tokens of either list end there or
+    before: the slices of both lists that make the groups."""
+    at_a = dict(zip(a_ends, range(1, len(a_ends) + 1)))
+    at_b = dict(zip(b_ends, range(1, len(b_ends) + 1)))
+    ends = sorted(at_a.keys() & at_b.keys())
+    return ends, list(map(at_a.__getitem__, ends)), list(map(at_b.__getitem__, ends))
 
 
-def groups_and_links(a_ends: list[int], b_ends: list[int]) -> tuple[list[Group], list[tuple[int, int]]]:
-    """Groups (slices of both lists) and links (an index in each list) of two token lists over the same bytes."""
-    at_a = {end: i + 1 for i, end in enumerate(a_ends)}
-    at_b = {end: i + 1 for i, end in enumerate(b_ends)}
-    groups, links, a, b = [], [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        a_to, b_to = at_a[end], at_b[end]
-        groups.append((a, a_to, b, b_to))
-        while a < a_to and b < b_to:
-            links.append((a, b))
-            x, y = a_ends[a], b_ends[b]
-            a += x <= y
-            b += y <= x
-        a, b = a_to, b_to
-    return groups, links
+def links_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of all slices: the bytes between two neighbouring ends of either list lie in one token of each, and two
+    tokens that overlap share one such stretch. Its end and the index of its token in each list."""
+    ends = np.sort(np.concatenate((a_ends, b_ends)), kind="stable")  # two sorted runs: a merge
+    ends = ends[np.diff(ends, prepend=-1) > 0]
+    return ends, np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
 
 
 class Aligner:
@@ -69,6 +66,9 @@ class Aligner:
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         self.piece_of = [piece_bytes(n) for n in names]
         self.by_word = self.bpe.by_word and not any(BLANK in n.lstrip(BLANK) for n in names)
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in t], np.int64)
+                                          for t in (self.bpe.bytes_of, self.piece_of))
+        self.names = [str(i) for i in range(max(len(self.bpe.bytes_of), len(names)))]
         self.clear()
 
     def clear(self) -> None:
@@ -78,36 +78,59 @@ class Aligner:
         self.pair_at = array("q", [0])
         self.pairs = array("q")  # id a << 32 | id b of every link
 
-    def add(self, word: str, a_raw: bytes, b: list[int]) -> int:
-        """Align the ids of a word; its number."""
-        a = np.frombuffer(a_raw, "<u4").tolist()
-        a_bytes, b_bytes = [self.bpe.bytes_of[i] for i in a], [self.piece_of[i] for i in b]
-        whole = b" " + word.encode("utf-8")
-        if b"".join(a_bytes) == whole == b"".join(b_bytes):
-            groups, links = groups_and_links(list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes))))
-            self.texts.append(";".join([",".join(map(str, a[p:q])) + "|" + ",".join(map(str, b[r:s]))
-                                        for p, q, r, s in groups]))
-            self.sizes.extend((len(a), len(b), len(groups), len(links)))
-            self.pairs.extend([a[i] << 32 | b[j] for i, j in links])
-        else:
+    def add(self, words: list[str], b_lists: list[list[int]]) -> None:
+        """Align words, each with the blank before it, laid end to end: a word's end is an end of both sides."""
+        whole = [b" " + w.encode("utf-8") for w in words]
+        a = np.frombuffer(self.bpe.encode(" " + " ".join(words)), "<u4").astype(np.int64)
+        b = np.array(list(chain.from_iterable(b_lists)), np.int64)
+        a_list, b_list, text = a.tolist(), b.tolist(), b"".join(whole)
+        if not (b"".join(map(self.bpe.bytes_of.__getitem__, a_list)) == text
+                == b"".join(map(self.piece_of.__getitem__, b_list))):
+            if len(words) > 1:
+                middle = len(words) // 2
+                self.add(words[:middle], b_lists[:middle])
+                self.add(words[middle:], b_lists[middle:])
+                return
             self.texts.append("")
             self.sizes.extend((-1, 0, 0, 0))
-        self.pair_at.append(len(self.pairs))
-        return len(self.texts) - 1
+            self.pair_at.append(len(self.pairs))
+            return
+        a_ends, b_ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
+        ends, a_to, b_to = common_slices(a_ends.tolist(), b_ends.tolist())
+        a_names, b_names = ([self.names[i] for i in ids] for ids in (a_list, b_list))
+        groups = [",".join(a_names[p:q]) + "|" + ",".join(b_names[r:t])
+                  for p, q, r, t in zip([0, *a_to], a_to, [0, *b_to], b_to)]
+        link_ends, link_a, link_b = links_of(a_ends, b_ends)
+        word_ends = np.cumsum([len(w) for w in whole])
+        of_word = np.stack([np.searchsorted(e, word_ends) + 1 for e in (a_ends, b_ends, np.array(ends), link_ends)], 1)
+        last_group = of_word[:, 2].tolist()
+        self.texts += [";".join(groups[p:q]) for p, q in zip([0, *last_group], last_group)]
+        self.sizes.frombytes(np.diff(of_word, axis=0, prepend=0).tobytes())
+        self.pair_at.frombytes((of_word[:, 3] + len(self.pairs)).tobytes())
+        self.pairs.frombytes((a[link_a] << 32 | b[link_b]).tobytes())
 
     def words_of(self, texts: list[str]) -> list[np.ndarray]:
         """Numbers of the words of each (non-empty) text."""
         split = [t.split(" ") if self.by_word else [t] for t in texts]
-        new = [w for w in set().union(*split) if w not in self.number and self.bpe.splits(w)] if self.by_word else []
-        new.sort(key=lambda w: PLAIN.fullmatch(w) is None)  # words of the faster encoder are joined apart
-        for w, a, b in zip(new, self.bpe.encode_words(new), self.pieces.encode(new, num_threads=1) if new else []):
-            self.number[w] = self.add(w, a, b)
+        new: list[str] = []
+        if self.by_word:
+            new = sorted(set().union(*split).difference(self.number))
+            joined = " ".join(new)
+            if PLAIN.fullmatch(joined) and not any(c in joined for c in "\t\n\r"):
+                new = [w for w in new if 0 < len(w) <= LONG_WORD]
+            else:  # words of the faster encoder are laid together
+                new = sorted(filter(self.bpe.splits, new), key=lambda w: PLAIN.fullmatch(w) is None)
+        for i in range(0, len(new), JOINED):
+            some, first = new[i:i + JOINED], len(self.texts)
+            self.add(some, self.pieces.encode(some, num_threads=1))
+            self.number.update(zip(some, range(first, len(self.texts))))
         out = []
         for t, words in zip(texts, split):
             try:
-                out.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+                out.append(np.array(list(map(self.number.__getitem__, words)), np.int64))
             except KeyError:
-                out.append(np.array([self.add(t, self.bpe.encode(" " + t), self.pieces.encode(t))], np.int64))
+                out.append(np.array([len(self.texts)], np.int64))
+                self.add([t], [self.pieces.encode(t)])
         return out
 
 

@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 
-MAX_WORDS = 400_000
+MAX_WORDS = 800_000
 # Characters whose kind (letter, digit, sign, white space) is the same in every version of Unicode.
 PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed: the byte-level splitter

@@ -77,10 +77,11 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-def test_groups_and_links_of_crossing_ends():
-    groups, links = token_align.groups_and_links([2, 5, 6, 9], [3, 6, 8, 9])
-    assert groups == [(0, 3, 0, 2), (3, 4, 2, 4)]
-    assert links == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 2), (3, 3)]
+def test_slices_and_links_of_crossing_ends():
+    assert token_align.common_slices([2, 5, 6, 9], [3, 6, 8, 9]) == ([6, 9], [3, 4], [2, 4])
+    ends, a, b = token_align.links_of([2, 5, 6, 9], [3, 6, 8, 9])
+    assert ends.tolist() == [2, 3, 5, 6, 8, 9]
+    assert list(zip(a, b)) == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 2), (3, 3)]
 
 
 def test_equals_brute_force(spark, brute):
