@@ -100,49 +100,59 @@ def passage_json(has_timestamp: bool = False) -> F.Column:
 
 
 def latest_before(slots: DataFrame, passages: DataFrame, sub_col: str = "sibling_id") -> DataFrame:
-    """For each ``(story_id, pos, sub_col)`` row, the latest passage of that sub-event written at an earlier slot
-    (range-conditioned join on the same sub-event, then ``max_by`` on the passage position)."""
-    p = passages.select("story_id", F.col("sub_event_id").alias(sub_col), F.col("pos").alias("p_pos"),
-                        passage_json("timestamp" in passages.columns).alias("p_json"))
-    j = slots.join(p, ["story_id", sub_col]).where(F.col("p_pos") < F.col("pos"))
-    return j.groupBy("story_id", "pos", sub_col).agg(F.max("p_pos").alias("visible_pos"),
-                                                     F.max_by("p_json", "p_pos").alias("visible_json"))
+    """For each ``(story_id, pos, sub_col)`` row with one, the position of the latest passage of that sub-event written at
+    an earlier slot (range-conditioned join on keys and positions; texts are joined by the caller)."""
+    p = passages.select("story_id", F.col("sub_event_id").alias(sub_col), F.col("pos").alias("p_pos"))
+    j = slots.select("story_id", "pos", sub_col).join(p, ["story_id", sub_col]).where(F.col("p_pos") < F.col("pos"))
+    return j.groupBy("story_id", "pos", sub_col).agg(F.max("p_pos").alias("visible_pos"))
 
 
-def context_siblings(slots: DataFrame, sub_events: DataFrame, events: DataFrame, passages: DataFrame) -> DataFrame:
-    """Sibling sub-events (same parent, not the slot's own sub-event) in plan order, each with its latest
-    passage written at an earlier slot. Sibling lists are per parent event (a handful by the planning rule)."""
-    p = context_parent(slots, sub_events, events).where(F.col("parent_json").isNotNull())
+def _sibling_pairs(known: DataFrame, sub_events: DataFrame, passages: DataFrame) -> DataFrame:
+    """Each slot of a known parent with its siblings and the position of their visible passages."""
     sib = sub_events.select("story_id", "parent_event_id", F.col("sub_event_id").alias("sibling_id"),
-                            F.col("sub_seq").alias("sibling_seq"), sub_event_json().alias("sibling_json"))
-    pairs = (p.select("story_id", "pos", "sub_event_id", "parent_event_id")
+                            F.col("sub_seq").alias("sibling_seq"))
+    pairs = (known.select("story_id", "pos", "sub_event_id", "parent_event_id")
              .join(sib, ["story_id", "parent_event_id"]).where(F.col("sibling_id") != F.col("sub_event_id")))
-    vis = latest_before(pairs.select("story_id", "pos", "sibling_id"), passages)
-    return pairs.join(vis, ["story_id", "pos", "sibling_id"], "left")
+    return pairs.join(latest_before(pairs, passages), ["story_id", "pos", "sibling_id"], "left")
+
+
+def context_siblings(slots: DataFrame, sub_events: DataFrame, events: DataFrame, passages: DataFrame) -> DataFrame:
+    """Sibling sub-events (same parent, not the slot's own sub-event) in plan order, each with the position of its
+    latest passage written at an earlier slot. Sibling lists are per parent event (a handful by the planning rule)."""
+    s = sub_event_lookup(slots, sub_events).select("story_id", "pos", "sub_event_id", "parent_event_id")
+    ids = events.select("story_id", F.col("event_id").alias("parent_event_id"))
+    return _sibling_pairs(s.join(ids, ["story_id", "parent_event_id"], "left_semi"), sub_events, passages)
+
+
+def event_heads(events: DataFrame, relations: DataFrame) -> DataFrame:
+    """First part of a context, once per accepted event: its JSON, then its neighbours' (W2) in event order."""
+    e = events.select("story_id", "event_id", "event_seq", event_json().alias("json"))
+    near = (event_adjacency(relations)
+            .join(e.withColumnRenamed("event_id", "neighbour_id"), ["story_id", "neighbour_id"])
+            .groupBy("story_id", "event_id").agg(ordered_text(F.col("json"), F.col("event_seq"), "\n").alias("near")))
+    return e.join(near, ["story_id", "event_id"], "left").select(
+        "story_id", F.col("event_id").alias("parent_event_id"), F.concat_ws("\n", "json", "near").alias("head"))
 
 
 def context_text(slots: DataFrame, sub_events: DataFrame, events: DataFrame, relations: DataFrame,
                  passages: DataFrame) -> DataFrame:
     """Parent, neighbours, then each sibling followed by its visible passage, joined by newlines;
-    empty text when the parent is unknown."""
-    par = context_parent(slots, sub_events, events)
-    parts_parent = par.where(F.col("parent_json").isNotNull()).select(
-        "story_id", "pos", F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("sub"),
-        F.col("parent_json").alias("text"))
-    nb = context_neighbours(slots, sub_events, events, relations).select(
-        "story_id", "pos", F.lit(1).alias("part"), F.col("neighbour_seq").cast("long").alias("seq"),
-        F.lit(0).alias("sub"), F.col("neighbour_json").alias("text"))
-    sib = context_siblings(slots, sub_events, events, passages)
-    s1 = sib.select("story_id", "pos", F.lit(2).alias("part"), F.col("sibling_seq").cast("long").alias("seq"),
-                    F.lit(0).alias("sub"), F.col("sibling_json").alias("text"))
-    s2 = sib.where(F.col("visible_json").isNotNull()).select(
-        "story_id", "pos", F.lit(2).alias("part"), F.col("sibling_seq").cast("long").alias("seq"),
-        F.lit(1).alias("sub"), F.col("visible_json").alias("text"))
-    parts = parts_parent.unionByName(nb).unionByName(s1).unionByName(s2)
-    ctx = parts.groupBy("story_id", "pos").agg(
-        ordered_text(F.col("text"), F.struct("part", "seq", "sub"), "\n").alias("context"))
-    return (par.select("story_id", "pos", "sub_event_id").join(ctx, ["story_id", "pos"], "left")
-            .withColumn("context", F.coalesce("context", F.lit(""))))
+    empty text when the parent is unknown. Pairs of slots and siblings are keys and positions; every text is joined
+    once, after them."""
+    s = sub_event_lookup(slots.select("story_id", "pos", "sub_event_id"),
+                         sub_events.select("story_id", "sub_event_id", "parent_event_id"))
+    s = s.join(event_heads(events, relations), ["story_id", "parent_event_id"], "left")
+    pairs = _sibling_pairs(s.where(F.col("head").isNotNull()), sub_events, passages)
+    sub_texts = sub_events.select("story_id", F.col("sub_event_id").alias("sibling_id"), sub_event_json().alias("_sub"))
+    texts = passages.select("story_id", F.col("pos").alias("visible_pos"),
+                            passage_json("timestamp" in passages.columns).alias("_passage"))
+    lines = (pairs.select("story_id", "pos", "sibling_id", "sibling_seq", "visible_pos")
+             .join(sub_texts, ["story_id", "sibling_id"]).join(texts, ["story_id", "visible_pos"], "left")
+             .groupBy("story_id", "pos")
+             .agg(ordered_text(F.concat_ws("\n", "_sub", "_passage"), F.col("sibling_seq"), "\n").alias("_siblings")))
+    return s.join(lines, ["story_id", "pos"], "left").select(
+        "story_id", "pos", "sub_event_id",
+        F.coalesce(F.when(F.col("head").isNotNull(), F.concat_ws("\n", "head", "_siblings")), F.lit("")).alias("context"))
 
 
 def passage_latest(slots: DataFrame) -> DataFrame:
