@@ -6,10 +6,12 @@ from pyspark.sql import SparkSession
 
 from longform.sources.fixtures import Fixtures
 
-# Outline parameters used by the registered queries (the fixture has up to 25 events per story).
+# Outline parameters of the registered queries: the defaults of a run. The gate queries use a small cap, since no story of
+# the fixture has more than 25 events.
 K_CANDIDATES = 3
 MAX_VAL = 2
-MAX_EVENTS = 6
+MAX_EVENTS = 30
+GATE_EVENTS = 6
 RUN_ID = "run-1"
 
 _CACHE: dict[tuple[str, str], Fixtures] = {}

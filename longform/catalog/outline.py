@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from longform.catalog import register
-from longform.catalog.common import MAX_EVENTS, MAX_VAL, fx
+from longform.catalog.common import GATE_EVENTS, MAX_EVENTS, MAX_VAL, fx
 from longform.functions.records import event_json, relation_json
 from longform.operators import outline as O
 
@@ -41,7 +41,7 @@ q_live AS (
             AND val_iter = row_number() OVER (PARTITION BY story_id, round ORDER BY val_iter) - 1
             AND val_iter < {max_val} AS live
   FROM q_batches)""".replace("{max_val}", str(MAX_VAL))
-Q_STOP = Q_LIVE + """,
+_STOP = Q_LIVE + """,
 q_round_acc AS (
   SELECT r.story_id, r.round, coalesce(a.n_accepted, 0) AS n_accepted
   FROM (SELECT DISTINCT story_id, round FROM fx_candidates WHERE val_iter = 0) r
@@ -76,8 +76,14 @@ q_seq AS (
 q_fold AS (
   SELECT story_id, event_seq, event_key, round, val_iter, event_id AS natural_id,
          CASE WHEN k = 1 THEN event_id ELSE concat(event_id, '_', CAST(k - 1 AS VARCHAR)) END AS event_id
-  FROM (SELECT *, row_number() OVER (PARTITION BY story_id, event_id ORDER BY event_seq) AS k FROM q_seq) x)""".replace(
-    "{cap}", str(O.round_cap(MAX_EVENTS, MAX_VAL))).replace("{max_events}", str(MAX_EVENTS))
+  FROM (SELECT *, row_number() OVER (PARTITION BY story_id, event_id ORDER BY event_seq) AS k FROM q_seq) x)"""
+
+
+def _stop(max_events: int) -> str:
+    return _STOP.replace("{cap}", str(O.round_cap(max_events, MAX_VAL))).replace("{max_events}", str(max_events))
+
+
+Q_STOP, Q_GATE = _stop(MAX_EVENTS), _stop(GATE_EVENTS)
 
 
 def _with(ctes: str, body: str) -> str:
@@ -135,10 +141,10 @@ def outline_gate_complete(spark, sf):
     return O.gate_complete(fx(spark, sf).completeness)
 
 
-@register("outline_gate_max_events", _with(Q_STOP, f"""
-SELECT story_id, round, n_accepted, accepted_before, accepted_before >= {MAX_EVENTS} AS at_cap FROM q_cap"""))
+@register("outline_gate_max_events", _with(Q_GATE, f"""
+SELECT story_id, round, n_accepted, accepted_before, accepted_before >= {GATE_EVENTS} AS at_cap FROM q_cap"""))
 def outline_gate_max_events(spark, sf):
-    return O.gate_max_events(*_cv(spark, sf), MAX_EVENTS, MAX_VAL)
+    return O.gate_max_events(*_cv(spark, sf), GATE_EVENTS, MAX_VAL)
 
 
 @register("outline_gate_no_candidates", _with(Q_STOP, "SELECT * FROM q_empty"))
@@ -146,12 +152,12 @@ def outline_gate_no_candidates(spark, sf):
     return O.gate_no_candidates(fx(spark, sf).candidates)
 
 
-@register("outline_round_cap", _with(Q_STOP, "SELECT * FROM q_stop"))
+@register("outline_round_cap", _with(Q_GATE, "SELECT * FROM q_stop"))
 def outline_round_cap(spark, sf):
     """Stop round per story: min of complete, max-events and empty rounds and the round cap."""
     f = fx(spark, sf)
     c, v = _cv(spark, sf)
-    return O.stop_rounds(c, v, f.completeness, MAX_EVENTS, MAX_VAL)
+    return O.stop_rounds(c, v, f.completeness, GATE_EVENTS, MAX_VAL)
 
 
 @register("append_accepted", _with(Q_STOP, """

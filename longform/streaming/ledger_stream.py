@@ -7,12 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from longform.operators import ledger as M
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a response table has been written; any other trouble with the path is raised."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+from longform.sources.tables import path_exists
 
 
 def answer_stream(spark: SparkSession, requests_path: str, schema, responses_path: str, checkpoint: str,
@@ -20,7 +15,7 @@ def answer_stream(spark: SparkSession, requests_path: str, schema, responses_pat
     stream = spark.readStream.schema(schema).parquet(requests_path)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        todo = M.pending(df, spark.read.parquet(responses_path)) if _exists(spark, responses_path) else df
+        todo = M.pending(df, spark.read.parquet(responses_path)) if path_exists(spark, responses_path) else df
         M.record(spark, M.call(todo, call_fn), responses_path)
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
