@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -144,29 +145,30 @@ RULES = {"str": _str_rule, "float": _float_rule, "bool": _bool_rule, "int": _int
          "characters": _characters_rule}
 
 
-def validate(elements: DataFrame, spec: list[tuple[str, str]], keys: list[str]) -> DataFrame:
-    """Adds ``ok`` (every required field passes), ``reason`` (first failing field) and one column per field."""
-    e = F.col("e")
-    is_obj = F.col("elem_kind") == "object"
-    oks, vals = [], []
+@lru_cache(maxsize=64)
+def _checks(app_id: str, spec: tuple[tuple[str, str], ...]) -> tuple[Column, Column, list[Column]]:
+    """(every field passes, first failing field, typed fields) of an element ``e``; built once a session, since loops parse
+    many tables with the same rules."""
+    e, is_obj = F.col("e"), F.col("elem_kind") == "object"
+    all_ok, reason, vals = is_obj, F.when(~is_obj, F.lit("not an object")), []
     for name, kind in spec:
-        optional = kind.endswith("?")
-        rule = RULES[kind.rstrip("?")]
         x = _get(e, f"$.{name}")
-        ok, val = rule(x)
-        if optional:  # absent means the default (empty list); present must still be valid
+        ok, val = RULES[kind.rstrip("?")](x)
+        if kind.endswith("?"):  # absent means the default (empty list); present must still be valid
             ok = x.isNull() | ok
             val = F.when(x.isNull(), F.array().cast("array<string>")).otherwise(val)
-        oks.append((name, F.coalesce(ok, F.lit(False))))
+        ok = F.coalesce(ok, F.lit(False))
+        all_ok, reason = all_ok & ok, reason.when(~ok, F.lit(f"bad {name}"))
         vals.append(val.alias(name))
-    all_ok = is_obj
-    reason = F.when(~is_obj, F.lit("not an object"))
-    for name, ok in oks:
-        all_ok = all_ok & ok
-        reason = reason.when(~ok, F.lit(f"bad {name}"))
+    return all_ok, reason, vals
+
+
+def validate(elements: DataFrame, spec: list[tuple[str, str]], keys: list[str]) -> DataFrame:
+    """Adds ``ok`` (every required field passes), ``reason`` (first failing field) and one column per field."""
+    all_ok, reason, vals = _checks(elements.sparkSession.sparkContext.applicationId, tuple(spec))
     pos = [] if "pos" in keys else ["pos"]
     return elements.select(*keys, *pos, all_ok.alias("_ok"), reason.alias("_reject_reason"),
-                           F.to_json(e).alias("_raw"), *vals)
+                           F.to_json(F.col("e")).alias("_raw"), *vals)
 
 
 def parse_records(responses: DataFrame, keys: list[str], spec: list[tuple[str, str]],

@@ -154,20 +154,26 @@ def _prefix_text(batches: DataFrame, events: DataFrame, before) -> DataFrame:
     return batches.join(text, keys, "left")
 
 
-def req_seed(stories: DataFrame, accepted: DataFrame, completeness: DataFrame, k: int) -> DataFrame:
+def req_seed(stories: DataFrame, accepted: DataFrame, completeness: DataFrame, k: int, prefix: bool = True) -> DataFrame:
     """One request for each round whose outline is still open: the events accepted in earlier rounds, why it is
-    open and what is missing. ``accepted`` carries ``round`` and ``val_iter``."""
+    open and what is missing. ``accepted`` carries ``round`` and ``val_iter``; without ``prefix`` all of it precedes the
+    requests (a run that is at that round)."""
     open_ = completeness.where(~F.col("complete")).select("story_id", "round", "reason", "missing_elements")
-    text = _prefix_text(open_.select("story_id", "round").distinct(), accepted, F.col("_round") < F.col("round"))
-    s = open_.join(text, ["story_id", "round"]).join(stories, "story_id")
+    if prefix:
+        text = _prefix_text(open_.select("story_id", "round").distinct(), accepted, F.col("_round") < F.col("round"))
+        s = open_.join(text, ["story_id", "round"]).join(stories, "story_id")
+    else:
+        s = open_.join(events_text(accepted), "story_id", "left").join(stories, "story_id")
     p = render("seed", {"premise": F.col("premise"), "events": F.col("events"), "reason": F.col("reason"),
                         "missing": F.col("missing_elements"), "k": F.lit(k)})
     return with_hash(s.select("story_id", "round", p.alias("prompt")), "seed")
 
 
-def req_revise(stories: DataFrame, accepted: DataFrame, rejected: DataFrame, max_val: int) -> DataFrame:
+def req_revise(stories: DataFrame, accepted: DataFrame, rejected: DataFrame, max_val: int,
+               prefix: bool = True) -> DataFrame:
     """T4: one request for each batch with rejected candidates (O9 rows, whole records), with the remarks and the events
-    accepted up to and in that pass. The last pass asks for none: its revision would never be validated."""
+    accepted up to and in that pass. The last pass asks for none: its revision would never be validated. ``prefix`` as in
+    ``req_seed``."""
     batch = ["story_id", "round", "val_iter"]
     todo = rejected.where(F.col("val_iter") + 1 < max_val)
     remark = F.concat_ws(": ", "event_id", "suggestion")
@@ -175,7 +181,8 @@ def req_revise(stories: DataFrame, accepted: DataFrame, rejected: DataFrame, max
                                      ordered_text(remark, F.col("first_pos"), "\n").alias("feedback"))
     upto = (F.col("_round") < F.col("round")) | ((F.col("_round") == F.col("round"))
                                                  & (F.col("_val_iter") <= F.col("val_iter")))
-    s = lists.join(_prefix_text(lists.select(*batch), accepted, upto), batch).join(stories, "story_id")
+    text = _prefix_text(lists.select(*batch), accepted, upto) if prefix else events_text(accepted)
+    s = lists.join(text, batch if prefix else "story_id", "left").join(stories, "story_id")
     p = render("revise", {"premise": F.col("premise"), "events": F.col("events"), "feedback": F.col("feedback"),
                           "candidates": F.col("candidates")})
     return with_hash(s.select(*batch, p.alias("prompt")), "revise")

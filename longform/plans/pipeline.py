@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longform import schemas
-from longform.functions.ids import resolve_ids
 from longform.operators import outline as O
 from longform.operators import parse as R
 from longform.operators import planning as P
@@ -37,28 +36,46 @@ def _with_parsed(answers: DataFrame, keys: list[str], spec) -> DataFrame:
 # ---- outline ---------------------------------------------------------------------------------------------------
 def judged_batch(candidates: DataFrame, verdicts: DataFrame, accepted: DataFrame) -> DataFrame:
     """O4-O9, O12, O13 for one pass: every matched candidate with its verdict; accepted ones have the next ``event_seq`` of
-    their story and an id that no earlier event has (``natural_id`` is the model's)."""
-    matched = O.match_verdicts(candidates, verdicts)
-    # a pass of one story is one model response, so these windows are small
-    order = Window.partitionBy("story_id").orderBy("first_pos")
-    new = matched.where(F.col("valid")).select("story_id", "event_id", F.row_number().over(order).alias("_n"))
-    before = accepted.join(new.select("story_id").distinct(), "story_id", "left_semi")
-    n_before = before.groupBy("story_id").agg(F.max("event_seq").alias("_last"))
-    new = new.join(n_before, "story_id", "left").select(
-        "story_id", "event_id", (F.col("_n") + F.coalesce("_last", F.lit(0))).cast("long").alias("event_seq"),
-        F.lit(True).alias("_new"))
-    both = before.select("story_id", "event_id", "event_seq", F.lit(False).alias("_new")).unionByName(new)
-    ids = resolve_ids(both, ["story_id"], "event_id", "event_seq", "_resolved").where("_new").select(
-        "story_id", F.col("event_id").alias("natural_id"), "event_seq", "_resolved")
-    rows = matched.withColumnRenamed("event_id", "natural_id").join(ids, ["story_id", "natural_id"], "left")
-    return rows.withColumn("event_id", F.coalesce("_resolved", "natural_id")).drop("_resolved")
+    their story and the smallest free id (``natural_id`` is the model's).
+
+    A pass of a story is one model response and a story has about ``max_events`` events, so both are short lists, walked in
+    order by a fold over arrays."""
+    matched = O.match_verdicts(candidates, verdicts).withColumnRenamed("event_id", "natural_id")
+    fields = [c for c in matched.columns if c not in ("story_id", "first_pos")]
+    rows = matched.groupBy("story_id").agg(
+        F.array_sort(F.collect_list(F.struct("first_pos", F.struct(*fields).alias("r")))).alias("_rows"))
+    taken = accepted.groupBy("story_id").agg(F.collect_list("event_id").alias("_taken"), F.max("event_seq").alias("_last"))
+    none = F.array().cast("array<string>")
+
+    def named(state: Column, row: Column) -> Column:
+        own = row["r"]["natural_id"]
+        tries = F.transform(F.sequence(F.lit(1), F.size(state["taken"]) + 1),
+                            lambda n: F.concat(own, F.lit("_"), n.cast("string")))
+        free = F.element_at(F.filter(tries, lambda t: ~F.array_contains(state["taken"], t)), 1)
+        name = F.when(F.array_contains(state["taken"], own), free).otherwise(own)
+        return F.struct(F.array_append(state["taken"], name).alias("taken"),
+                        F.array_append(state["names"], name).alias("names"))
+
+    good, bad = F.filter("_rows", lambda x: x["r"]["valid"]), F.filter("_rows", lambda x: ~x["r"]["valid"])
+    s = rows.join(taken, "story_id", "left").select("story_id", good.alias("_good"), bad.alias("_bad"), F.aggregate(
+        good, F.struct(F.coalesce("_taken", none).alias("taken"), none.alias("names")), named)["names"].alias("_names"),
+        F.coalesce("_last", F.lit(0)).cast("long").alias("_last"))
+
+    def out(row: Column, event_id: Column, seq: Column) -> Column:
+        return F.struct(row["first_pos"].alias("first_pos"), *[row["r"][c].alias(c) for c in fields],
+                        event_id.alias("event_id"), seq.cast("long").alias("event_seq"))
+
+    accepted_rows = F.transform("_good", lambda x, i: out(x, F.get("_names", i), F.col("_last") + i + 1))
+    rejected_rows = F.transform("_bad", lambda x: out(x, x["r"]["natural_id"], F.lit(None)))
+    return s.select("story_id", F.inline(F.concat(accepted_rows, rejected_rows)))
 
 
 def revise_round(stories: DataFrame, accepted: DataFrame, judged: DataFrame, max_val: int, ask: Callable) -> DataFrame:
     """Rejected candidates of a pass go back with their verdicts; what comes back are the candidates of pass
-    ``val_iter + 1``. The last pass asks for nothing: its revision would never be validated. ``ask`` answers requests."""
+    ``val_iter + 1``. The last pass asks for nothing: its revision would never be validated. ``accepted`` are the events up to
+    and in the pass; ``ask`` answers requests."""
     rejected = judged.where(~F.col("valid")).withColumn("event_id", F.col("natural_id"))
-    answers = ask(lambda: T.req_revise(stories, accepted, rejected, max_val))
+    answers = ask(lambda: T.req_revise(stories, accepted, rejected, max_val, prefix=False))
     revised = _with_parsed(answers, BATCH, R.EVENT_SPEC)
     return revised.withColumn("val_iter", (F.col("val_iter") + 1).cast("int"))
 
@@ -100,10 +117,13 @@ def build_outline(store: RunStore, premises: DataFrame, model: Model, k_candidat
                                 model)
         state = R.parse_completeness(answers, ["story_id", "round"]).withColumn(
             "missing_elements", F.concat_ws(",", "missing_elements"))
-        answers = store.answers(f"{at}/seed", lambda: T.req_seed(now, so_far, state, k_candidates), model)
-        candidates = _with_parsed(answers, ["story_id", "round"], R.EVENT_SPEC).withColumn("val_iter", F.lit(0))
+        answers = store.answers(f"{at}/seed", lambda: T.req_seed(now, so_far, state, k_candidates, prefix=False), model)
+        candidates = store.step(f"{at}/candidates0", lambda: _with_parsed(
+            answers, ["story_id", "round"], R.EVENT_SPEC).withColumn("val_iter", F.lit(0)))
         active = candidates.select("story_id").distinct()
         for v in range(max_val):
+            if candidates.isEmpty():
+                break
             before = accepted()
             answers = store.answers(f"{at}/validate{v}", lambda: T.req_validate(
                 stories, before.join(candidates.select("story_id").distinct(), "story_id", "left_semi"), candidates,
@@ -112,8 +132,9 @@ def build_outline(store: RunStore, premises: DataFrame, model: Model, k_candidat
             judged = store.step(f"{at}/judged{v}", lambda: judged_batch(candidates, verdicts, before))
             done.append(f"{at}/judged{v}")
             if v + 1 < max_val:
-                candidates = revise_round(stories, accepted(), judged, max_val,
-                                          lambda requests: store.answers(f"{at}/revise{v}", requests, model))
+                candidates = store.step(f"{at}/candidates{v + 1}", lambda: revise_round(
+                    stories, accepted(), judged, max_val,
+                    lambda requests: store.answers(f"{at}/revise{v}", requests, model)))
     events = store.step("outline/events", accepted)
     answers = store.answers("outline/relations", lambda: T.req_relations(stories, events), model)
     relations = store.step("outline/edges", lambda: O.relations_valid(
