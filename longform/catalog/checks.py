@@ -59,6 +59,20 @@ def chk_isolated_events(spark, sf):
     return Q.isolated_events(fx(spark, sf).events, _rel(spark, sf))
 
 
+@register("chk_components", "WITH RECURSIVE " + Q_VALID_REL.strip() + """,
+q_link AS (SELECT r.story_id, a.event_seq AS x, b.event_seq AS y FROM q_valid_rel r
+           JOIN fx_events a ON a.story_id = r.story_id AND a.event_id = r.source_event_id
+           JOIN fx_events b ON b.story_id = r.story_id AND b.event_id = r.target_event_id),
+q_both AS (SELECT story_id, x, y FROM q_link UNION SELECT story_id, y, x FROM q_link),
+q_reach AS (SELECT story_id, event_seq AS x, event_seq AS y FROM fx_events
+            UNION SELECT r.story_id, r.x, b.y FROM q_reach r JOIN q_both b ON b.story_id = r.story_id AND b.x = r.y),
+q_part AS (SELECT story_id, x, min(y) AS first_seq, count(*) AS n_events FROM q_reach GROUP BY story_id, x)
+SELECT e.story_id, e.event_id, p.first_seq, p.n_events FROM fx_events e
+JOIN q_part p ON p.story_id = e.story_id AND p.x = e.event_seq""")
+def chk_components(spark, sf):
+    return Q.graph_components(fx(spark, sf).events, _rel(spark, sf))
+
+
 @register("chk_dead_then_alive", "WITH " + MENTIONS_SQL.strip() + """,
 q_d AS (SELECT story_id, name, min(event_seq) AS dead_seq FROM q_m WHERE state = 'dead' GROUP BY story_id, name)
 SELECT m.story_id, m.name, m.event_seq, m.state, d.dead_seq FROM q_m m
@@ -207,6 +221,39 @@ def chk_wrong_names(spark, sf):
     return Q.wrong_names(f.passages, f.sub_events, f.events).select("story_id", "pos", "sub_event_id", "name")
 
 
+# Names of one, two and three words, by the last digit of the supplier.
+RENAMES = ((r"Supplier ([0-9]*[012])\b", "S"), (r"Supplier ([0-9]*[6-9])\b", "Old Supplier "))
+
+
+def _renamed_sql(x: str) -> str:
+    for pattern, to in RENAMES:
+        x = f"regexp_replace({x}, '{pattern}', '{to}\\1', 'g')"
+    return x
+
+
+def _renamed(x):
+    for pattern, to in RENAMES:
+        x = F.regexp_replace(x, pattern, f"{to}$1")
+    return x
+
+
+@register("chk_wrong_names_any", "WITH " + MENTIONS_SQL.strip() + f""",
+q_cast AS (SELECT DISTINCT story_id, {_renamed_sql('name')} AS name FROM q_m),
+q_text AS (SELECT story_id, pos, sub_event_id,
+                  concat(' ', regexp_replace({_renamed_sql('raw_text')}, '[^A-Za-z0-9]+', ' ', 'g'), ' ') AS t FROM fx_passages)
+SELECT p.story_id, p.pos, p.sub_event_id, c.name FROM q_text p JOIN q_cast c ON c.story_id = p.story_id
+ AND contains(p.t, concat(' ', c.name, ' '))
+WHERE NOT EXISTS (SELECT 1 FROM fx_sub_events s WHERE s.story_id = p.story_id AND s.sub_event_id = p.sub_event_id
+  AND list_contains(list_transform(s.characters, lambda x: {_renamed_sql('x.name')}), c.name))""")
+def chk_wrong_names_any(spark, sf):
+    """Q22 with names of one to three words."""
+    f = fx(spark, sf)
+    cast = F.transform("characters", lambda c: c.withField("name", _renamed(c["name"])))
+    p = f.passages.withColumn("raw_text", _renamed(F.col("raw_text")))
+    r = Q.wrong_names(p, f.sub_events.withColumn("characters", cast), f.events.withColumn("characters", cast))
+    return r.select("story_id", "pos", "sub_event_id", "name")
+
+
 @register("chk_edit_size", f"""
 SELECT story_id, pos, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS BIGINT) AS n_removed,
        CAST(len(list_filter(b, lambda x: NOT list_contains(a, x))) AS BIGINT) AS n_added
@@ -260,6 +307,19 @@ q_hist AS (SELECT q.story_id, q.pos, q.sub_event_id, q.sibling_seq, p.raw_text A
            JOIN fx_passages p ON p.story_id = q.story_id AND p.pos = q.visible_pos)"""
 
 
+@register("chk_repeated_in_context", "WITH " + Q_SIBS.strip() + """,
+q_s AS (SELECT DISTINCT story_id, pos, regexp_replace(trim(unnest(string_split(raw_text, '. '))), '\\.$', '') AS sentence
+        FROM fx_passages)
+SELECT a.story_id, a.pos, a.sentence, count(*) AS n_earlier FROM q_s a
+JOIN q_sibs q ON q.story_id = a.story_id AND q.pos = a.pos AND q.visible_pos IS NOT NULL
+JOIN q_s b ON b.story_id = a.story_id AND b.pos = q.visible_pos AND b.sentence = a.sentence
+GROUP BY a.story_id, a.pos, a.sentence""")
+def chk_repeated_in_context(spark, sf):
+    """Q21 against the passages that a slot can see."""
+    _, sib = _siblings(spark, sf)
+    return Q.repeated_in_context(fx(spark, sf).passages, sib)
+
+
 @register("extract_summary", "WITH " + Q_HISTORY + f""",
 q_sent AS (SELECT *, unnest(string_split(history, '. ')) AS sentence,
                   unnest(range(0, len(string_split(history, '. ')))) AS idx FROM q_hist),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from longform.functions.graph import components
 from longform.functions.records import ordered_text
 from longform.functions.seq import block_of, running_max_before, seq_number, with_neighbour
 from longform.operators.writing import event_adjacency
@@ -48,6 +49,19 @@ def isolated_events(events: DataFrame, relations: DataFrame) -> DataFrame:
     return events.select("story_id", "event_id").join(adj, ["story_id", "event_id"], "left_anti")
 
 
+def graph_components(events: DataFrame, relations: DataFrame) -> DataFrame:
+    """Q4: connected parts of each story's graph: every event with the first event of its part and the part's size."""
+    seq = events.select("story_id", "event_id", "event_seq")
+    edges = relations.select("story_id", "source_event_id", "target_event_id")
+    for side, name in (("source_event_id", "a"), ("target_event_id", "b")):
+        edges = edges.join(seq.select("story_id", F.col("event_id").alias(side), F.col("event_seq").alias(name)),
+                           ["story_id", side])
+    parts = components(seq.withColumnRenamed("event_seq", "node"), edges, ["story_id"])
+    sizes = parts.groupBy("story_id", "root").agg(F.count(F.lit(1)).alias("n_events"))
+    return (parts.join(sizes, ["story_id", "root"]).join(seq.withColumnRenamed("event_seq", "node"), ["story_id", "node"])
+            .select("story_id", "event_id", F.col("root").alias("first_seq"), "n_events"))
+
+
 def dead_then_alive(events: DataFrame) -> DataFrame:
     """Q5: a character mentioned as not dead after an earlier event mentioned them dead."""
     m = mentions(events)
@@ -156,23 +170,60 @@ def chapter_sizes(chapters: DataFrame) -> DataFrame:
                                      F.max("size").alias("max_size"), F.round(F.avg("size"), 6).alias("avg_size"))
 
 
+def sentences(passages: DataFrame) -> DataFrame:
+    """``(story_id, pos, sentence)``, one row per sentence of a passage."""
+    s = passages.select("story_id", "pos", F.explode(F.split("raw_text", SENTENCE_SPLIT)).alias("sentence"))
+    return s.withColumn("sentence", F.regexp_replace(F.trim("sentence"), r"\.$", ""))
+
+
 def repeated_sentences(passages: DataFrame) -> DataFrame:
     """Q21: sentences that occur more than once within a passage."""
-    s = passages.select("story_id", "pos", F.explode(F.split("raw_text", SENTENCE_SPLIT)).alias("sentence"))
-    s = s.withColumn("sentence", F.regexp_replace(F.trim("sentence"), r"\.$", ""))
-    return s.groupBy("story_id", "pos", "sentence").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return (sentences(passages).groupBy("story_id", "pos", "sentence").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > 1))
+
+
+def repeated_in_context(passages: DataFrame, siblings: DataFrame) -> DataFrame:
+    """Q21: sentences of a passage that a passage visible to it holds already, with the number of such passages.
+
+    ``siblings`` are the rows of W9. Sentences are joined by hash and compared as texts after that."""
+    s = sentences(passages).distinct().withColumn("_h", F.xxhash64("sentence"))
+    seen = siblings.where(F.col("visible_pos").isNotNull()).select("story_id", "pos", "visible_pos")
+    held = seen.join(s.select("story_id", F.col("pos").alias("visible_pos"), F.col("sentence").alias("_held"), "_h"),
+                     ["story_id", "visible_pos"])
+    return (s.join(held, ["story_id", "pos", "_h"]).where(F.col("sentence") == F.col("_held"))
+            .groupBy("story_id", "pos", "sentence").agg(F.count(F.lit(1)).alias("n_earlier")))
+
+
+NAME_SPLIT = r"[^\p{L}\p{N}]+"
+NAME_WORDS = 5
+
+
+def _name_words(text: F.Column) -> F.Column:
+    return F.filter(F.split(text, NAME_SPLIT), lambda w: w != "")
 
 
 def wrong_names(passages: DataFrame, sub_events: DataFrame, events: DataFrame) -> DataFrame:
-    """Q22: a character of the story named in a passage but not listed for the passage's sub-event."""
-    cast = mentions(events).select("story_id", "name").distinct()
-    named = passages.select("story_id", "pos", "sub_event_id",
-                            F.explode(F.array_distinct(F.regexp_extract_all("raw_text", F.lit(r"(Supplier \d+)"), 1)))
-                            .alias("name"))
+    """Q22: a character of the story named in a passage but not listed for the passage's sub-event.
+
+    Names of any shape: the word n-grams of a passage, up to ``NAME_WORDS`` words, are joined with the first words of the
+    names of the story's cast, and the remaining words of longer names are compared after that."""
+    cast = mentions(events).select("story_id", "name").distinct().withColumn("_words", _name_words(F.col("name")))
+    cast = cast.where(F.size("_words") > 0).withColumn("_gram", F.array_join(F.slice("_words", 1, NAME_WORDS), " "))
+    p = passages.select("story_id", "pos", "sub_event_id", _name_words(F.col("raw_text")).alias("_said"))
+    at = p.where(F.size("_said") > 0).select(
+        "story_id", "pos", "sub_event_id", F.posexplode(F.transform(
+            "_said", lambda w, i: F.slice("_said", i + 1, NAME_WORDS))).alias("_i", "_next"))
+    grams = at.select("story_id", "pos", "sub_event_id", "_i", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("_next")), lambda n: F.array_join(F.slice("_next", F.lit(1), n), " "))).alias("_gram"))
+    found = grams.join(cast, ["story_id", "_gram"])
+    long_ = F.size("_words") > NAME_WORDS
+    whole = found.where(long_).join(p, ["story_id", "pos", "sub_event_id"]).where(
+        F.expr("slice(_said, _i + 1, size(_words)) = _words"))
+    key = ["story_id", "pos", "sub_event_id", "name"]
+    named = found.where(~long_).select(*key).unionByName(whole.select(*key)).distinct()
     listed = sub_events.select("story_id", "sub_event_id", F.explode(
         F.transform("characters", lambda c: c["name"])).alias("name")).distinct()
-    return (named.join(cast, ["story_id", "name"], "left_semi")
-            .join(listed, ["story_id", "sub_event_id", "name"], "left_anti"))
+    return named.join(listed, ["story_id", "sub_event_id", "name"], "left_anti")
 
 
 def edit_size(passages: DataFrame) -> DataFrame:
