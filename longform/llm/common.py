@@ -25,6 +25,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(stem: str, *frames: DataFrame) -> str:
+    """A column name that begins with ``stem`` and that no frame has, in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` as its own, also beside columns of other frames and with dots in their names."""
+    return [df[f"`{c}`"] for c in df.columns]
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; no two calls share one."""
     return f"{checkpoint_dir(spark).rstrip('/')}/longform-{kind}-{uuid.uuid4().hex}"

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from longform.llm.common import byte_texts, chunks, materialize, small_batches
+from longform.llm.common import byte_texts, chunks, free_name, materialize, small_batches
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -172,6 +173,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     n_blocks = max(1, ceil(total / block_bytes))
     d_type, i_type = (f.schema[c].dataType.simpleString() for f, c in ((src, "doc_id"), (query, "item_id")))
     schema = f"doc_id {d_type}, item_id {i_type}, n_shingles bigint, n_shared bigint"
+    item_type = to_arrow_type(query.schema["item_id"].dataType)
     results = []
     for b in range(n_blocks):
         part = query.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n_blocks)) == b)
@@ -184,7 +186,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array([h[0] for h in hits], pa.int64()))]
                     + [pa.array([h[c] for h in hits], t) for c, t in
-                       ((1, to_arrow(i_type)), (2, pa.int64()), (3, pa.int64()))],
+                       ((1, item_type), (2, pa.int64()), (3, pa.int64()))],
                     ["doc_id", "item_id", "n_shingles", "n_shared"])
 
         results.append(materialize(src.mapInArrow(run, schema)))
@@ -192,11 +194,12 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
-def to_arrow(simple: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[simple]
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that contain an item; null ids cannot be told apart and go together."""
-    bad = contained_items(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_lf_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_lf_id")), "left_anti")
+    """``docs`` without the documents that contain an item.
+
+    Rows of one id go together, null ids too. Null and empty texts contain nothing and stay, repeated rows stay repeated,
+    an empty table of documents or items changes nothing. Columns of any name pass through.
+    """
+    bad_id = free_name("_bad", docs)
+    bad = contained_items(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(bad_id)).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col(bad_id)), "left_anti")

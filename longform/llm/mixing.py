@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longform.llm.common import WORD, materialize
+from longform.llm.common import WORD, free_name, materialize, own_columns
 
 SEED = "mix-1"
 UNIT = 16 ** 13
@@ -96,12 +96,17 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def emit_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: str = SEED) -> DataFrame:
-    """The mix itself: all columns of ``docs``, each row as often as the plan takes it."""
+    """The mix itself: all columns of ``docs``, each row as often as the plan takes it.
+
+    Null and empty texts have size 0, sources without words are not taken. Repeated rows are taken alike, each as often
+    as its id's draw says; an empty table gives an empty mix. Columns of any name pass through.
+    """
     sized = docs.select(F.col(source_col).alias("source"), word_count(text_col).alias("size"))
     targets = source_targets(sized, weights, max_repeat)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rates = targets.select(F.col("source").alias("_lf_src"), rate.alias("_lf_rate"))
-    return (docs.join(rates, docs[source_col].eqNullSafe(F.col("_lf_src")))
-            .withColumn("_lf_n", _copies(docs[id_col], F.col("_lf_rate"), seed).cast("int"))
-            .where("_lf_n > 0").withColumn("_lf_copy", F.explode(F.sequence(F.lit(1), F.col("_lf_n"))))
-            .select(*[docs[c] for c in docs.columns]))
+    of, per, n, copy = (free_name(x, docs) for x in ("_of", "_per", "_n", "_copy"))
+    rates = targets.select(F.col("source").alias(of), rate.alias(per))
+    return (docs.join(rates, docs[source_col].eqNullSafe(F.col(of)))
+            .withColumn(n, _copies(docs[id_col], F.col(per), seed).cast("int"))
+            .where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+            .select(*own_columns(docs)))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longform.llm.common import byte_texts, materialize, small_batches
+from longform.llm.common import byte_texts, free_name, materialize, own_columns, small_batches
 from longform.llm.components import connected_components
 
 SEED = 42
@@ -222,16 +222,17 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        radius: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id (then text hash).
 
-    All columns pass through. Null ids count after all others; of fully repeated rows one stays.
+    Columns of any name pass through. Null ids count after all others; of rows that repeat id and text one stays. Null
+    and empty texts are near duplicates of each other; an empty table stays empty.
     """
     groups = simhash_groups(docs, id_col, text_col, shingle, radius)
     pick = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "txt")
     reps = groups.groupBy("group_key").agg(F.min(pick).alias("p"), F.count(F.lit(1)).alias("n"))
     same = (groups.select("group_key", pick.alias("p")).join(reps.select("group_key", "p"), ["group_key", "p"])
-            .groupBy("group_key", "p").agg(F.count(F.lit(1)).alias("_lf_n")))
-    reps = materialize(same.select(F.col("p.doc_id").alias("_lf_id"), F.col("p.txt").alias("_lf_txt"), "_lf_n"))
-    chosen = docs.join(reps, F.col("_lf_id").eqNullSafe(docs[id_col])
-                       & (F.col("_lf_txt") == F.xxhash64(docs[text_col])))
-    once = chosen.where("_lf_n = 1").select(*[docs[c] for c in docs.columns])
-    again = chosen.where("_lf_n > 1").dropDuplicates(["_lf_id", "_lf_txt"]).select(*[docs[c] for c in docs.columns])
+            .groupBy("group_key", "p").agg(F.count(F.lit(1)).alias("n")))
+    rep, txt, n = (free_name(x, docs) for x in ("_rep", "_txt", "_n"))
+    reps = materialize(same.select(F.col("p.doc_id").alias(rep), F.col("p.txt").alias(txt), F.col("n").alias(n)))
+    chosen = docs.join(reps, F.col(rep).eqNullSafe(docs[id_col]) & (F.col(txt) == F.xxhash64(docs[text_col])))
+    once = chosen.where(F.col(n) == 1).select(*own_columns(docs))
+    again = chosen.where(F.col(n) > 1).dropDuplicates([rep, txt]).select(*own_columns(docs))
     return once.unionByName(again)

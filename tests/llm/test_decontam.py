@@ -82,3 +82,14 @@ def test_rolling_hashes_depend_on_the_shingle_alone():
     a, b = normal("x " * 70000 + "one two three four five six"), normal("one two three four five six")
     assert list(shingle_hashes(a, 5)[-2:]) == list(shingle_hashes(b, 5))
     assert len(set(shingle_hashes(a, 5))) == 7
+
+
+def test_clashing_names_and_types_of_ids(spark):
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([("p", text, "x", "d"), ("q", "other words", "x", "d")], "doc_id string, text string, _BAD string, `a.b` string")
+    for kind in ("date", "decimal(9,2)", "smallint"):
+        items = spark.createDataFrame([("7", text)], "k string, text string").selectExpr(
+            "date'2024-01-02' AS item_id" if kind == "date" else f"CAST(k AS {kind}) AS item_id", "text")
+        assert [r["item_id"] for r in contained_items(df, items).collect()] == [items.first()["item_id"]]
+    kept = drop_contaminated(df, items)
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == ["q"]

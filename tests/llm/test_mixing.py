@@ -60,3 +60,10 @@ def test_emitted_rows_are_the_plan(spark):
 
 def test_empty(spark):
     assert mix_plan(frame(spark, ROWS).limit(0)).count() == 0 and emit_mix(frame(spark, ROWS).limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "s", "x", "y", "z", "k", "d")],
+                               "doc_id bigint, text string, source string, _of string, _PER string, _n string, _copy string, `a.b` string")
+    assert set(map(tuple, emit_mix(df).collect())) <= set(map(tuple, df.collect()))
+    assert emit_mix(df).columns == df.columns

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from longform.llm.pii import KEY, ROUNDS, permute, pseudonymize
+from longform.llm.pii import KEY, KEY_SETTING, ROUNDS, permute, pseudonymize
 
 SCHEMA = "doc_id bigint, text string, found string, kind string, gaps int"
 
@@ -158,3 +158,31 @@ def test_values_inside_and_after_forms_that_fail(spark):
     assert rewrite(spark, [a for a, _ in cases]) == [(b, 1) for _, b in cases]
     many = " ; ".join(f"2021 {c}" for _ in range(1500))
     assert rewrite(spark, [many]) == [(" ; ".join(f"2021 {card(c)}" for _ in range(1500)), 1500)]
+
+
+def test_a_telephone_number_is_one_value_in_all_layouts(spark):
+    layouts = ["+15551234567", "+1 555 123 4567", "+1-555-123-4567", "+1 (555) 123-4567", "(555) 123-4567", "555-123-4567",
+               "555.123.4567", "555 123 4567"]
+    want = chars("5551234567", "phone")
+    for a, (b, n) in zip(layouts, rewrite(spark, layouts)):
+        assert n == 1 and re.sub("[0-9]", "#", b) == re.sub("[0-9]", "#", a)
+        assert re.sub("[^0-9]", "", b) == ("1" if a[0] == "+" else "") + want
+    (a, _), (b, _) = rewrite(spark, ["+447911123456", "+44 7911 123456"])
+    assert a == b.replace(" ", "") and a.startswith("+44") and a != "+447911123456"
+    (a, _), (b, _) = rewrite(spark, ["+420601123456", "+420 601 123 456"])
+    assert a == b.replace(" ", "") and a.startswith("+420")
+
+
+def test_key_of_the_session(spark):
+    df = spark.createDataFrame([(1, "a.b@c.de", "x", "y", 1)], SCHEMA)
+    spark.conf.set(KEY_SETTING, "another")
+    try:
+        assert pseudonymize(df).collect() == pseudonymize(df, key="another").collect() != pseudonymize(df, key=KEY).collect()
+    finally:
+        spark.conf.unset(KEY_SETTING)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a.b@c.de", "x", "y")], "doc_id bigint, text string, _new string, `a.b` string")
+    row = pseudonymize(df).first()
+    assert row["_new"] == "x" and row["a.b"] == "y" and row["text"] != "a.b@c.de"

@@ -114,3 +114,10 @@ def test_one_per_group(spark):
 def test_empty(spark):
     empty = documents(spark).limit(0)
     assert simhash_groups(empty).count() == 0 and keep_one_per_group(empty).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x", "y", "z", "d"), (1, "a b", "x", "y", "z", "d")],
+                               "doc_id bigint, text string, _rep string, _txt string, _N string, `a.b` string")
+    kept = keep_one_per_group(df)
+    assert kept.columns == df.columns and kept.collect() == df.limit(1).collect()
