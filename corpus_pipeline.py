@@ -10,16 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longform.llm import decontam, mixing, pii, simhash, toxicity
-from longform.llm.common import crc_fold, shared_path, table
-
-SCORE = "_lf_toxicity"
+from longform.llm.common import crc_fold, free_name, shared_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold; learned as in the toxicity query, on this stage's documents."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_fold("doc_id", 4) != 2)
-    scored = toxicity.score_documents(docs, model, score_col=SCORE)
-    return scored.where(F.col(SCORE) < toxicity.THRESHOLD).drop(SCORE)
+    score = free_name("_toxicity", docs)
+    scored = toxicity.score_documents(docs, model, score_col=score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
