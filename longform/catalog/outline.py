@@ -8,6 +8,7 @@ from longform.catalog import register
 from longform.catalog.common import GATE_EVENTS, MAX_EVENTS, MAX_VAL, fx
 from longform.functions.records import event_json, relation_json
 from longform.operators import outline as O
+from longform.session import written
 
 CAND = "SELECT story_id, round, val_iter, pos, event_id, event_key FROM fx_candidates"
 
@@ -174,9 +175,8 @@ def append_accepted(spark, sf):
 def event_id_suffix(spark, sf):
     f = fx(spark, sf)
     c, v = _cv(spark, sf)
-    acc = O.accepted_in_play(c, v, f.completeness, MAX_EVENTS, MAX_VAL)
-    ev = O.append_accepted(acc).select("story_id", "event_seq", "event_id")
-    return O.resolve_event_ids(ev)
+    ev = O.accepted_events(c, v, f.completeness, MAX_EVENTS, MAX_VAL).select("story_id", "event_seq", "event_id")
+    return O.resolve_event_ids(written(ev))
 
 
 @register("outline_fold", _with(Q_STOP, "SELECT * FROM q_fold"))

@@ -43,13 +43,18 @@ def _sequential(id_col: str, out_col: str, order_names: list[str]):
 
 
 def _hit_families(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """Families in which a generated name equals a given id."""
+    """Families in which a generated name equals a given id: an id occurs more often than the smallest suffix with
+    which it is also given. Every id meets the ids that it is the base of in one aggregation."""
     n = df.groupBy(*keys, id_col).agg(F.count(F.lit(1)).alias("_lf_n"))
-    given = n.select(*keys, F.col(id_col).alias("_lf_given"),
-                     F.regexp_extract(id_col, GENERATED_RE, 1).alias(id_col),
-                     F.regexp_extract(id_col, GENERATED_RE, 2).try_cast("long").alias("_lf_suffix"))
-    hits = given.where(F.col("_lf_suffix").isNotNull()).join(n, keys + [id_col]).where(F.col("_lf_n") > F.col("_lf_suffix"))
-    return hits.select(*keys, F.regexp_replace("_lf_given", FAMILY_RE, "").alias("_lf_fam")).distinct()
+    suffix = F.regexp_extract(id_col, GENERATED_RE, 2).try_cast("long")
+    roles = F.array(F.struct(F.col(id_col).alias("base"), F.col("_lf_n").alias("n"), F.lit(None).cast("long").alias("suffix")),
+                    F.struct(F.regexp_extract(id_col, GENERATED_RE, 1).alias("base"), F.lit(0).cast("long").alias("n"),
+                             suffix.alias("suffix")))
+    r = n.select(*keys, F.explode(roles).alias("_lf_r")).where((F.col("_lf_r.n") > 0) | F.col("_lf_r.suffix").isNotNull())
+    r = r.groupBy(*keys, F.col("_lf_r.base").alias("_lf_base")).agg(
+        F.max("_lf_r.n").alias("_lf_n"), F.min("_lf_r.suffix").alias("_lf_suffix"))
+    return (r.where(F.col("_lf_n") > F.col("_lf_suffix"))
+            .select(*keys, F.regexp_replace("_lf_base", FAMILY_RE, "").alias("_lf_fam")).distinct())
 
 
 def resolve_ids(df: DataFrame, keys: Sequence[str], id_col: str, order: str, out_col: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from longform.functions.ids import resolve_ids
 from longform.functions.records import event_json, ordered_list, relation_json
 from longform.functions.seq import block_of, seq_number
+from longform.session import written
 
 BATCH = ["story_id", "round", "val_iter"]
 
@@ -73,9 +74,10 @@ def batch_counts(cands: DataFrame, verdicts: DataFrame) -> DataFrame:
 def validation_live_iters(cands: DataFrame, verdicts: DataFrame, max_val: int) -> DataFrame:
     """A validation pass ``v`` runs only if ``v < max_val`` and every earlier pass of the round had an invalid
     candidate. Returns every candidate batch with its counts and ``live`` flag."""
-    batches = cands.select(*BATCH).distinct()
-    counts = batch_counts(cands, verdicts)
-    b = batches.join(counts, BATCH, "left").fillna(0, ["n_matched", "n_accepted", "n_invalid"])
+    told = dedupe_verdicts(verdicts).select(*BATCH, "event_id", "valid", F.lit(True).alias("_matched"))
+    b = (cands.select(*BATCH, "event_id").distinct().join(told, BATCH + ["event_id"], "left").groupBy(*BATCH).agg(
+        F.count("_matched").alias("n_matched"), F.count_if("valid").alias("n_accepted"),
+        F.count_if(~F.col("valid")).alias("n_invalid")))
     # passes per round are bounded by max_val, so this window is small
     w = Window.partitionBy("story_id", "round").orderBy("val_iter").rowsBetween(Window.unboundedPreceding, -1)
     prior_clean = F.coalesce(F.min((F.col("n_invalid") > 0).cast("int")).over(w), F.lit(1))
@@ -124,36 +126,67 @@ def gate_max_events(cands: DataFrame, verdicts: DataFrame, max_events: int, max_
                       (F.col("accepted_before") >= max_events).alias("at_cap"))
 
 
+def _with_stop(rows: DataFrame, completeness: DataFrame, max_events: int, max_val: int,
+               prior: DataFrame | None) -> DataFrame:
+    """Adds ``accepted_before`` (of the row's round) and ``stop_round``, the first round not played: min of complete,
+    capped, empty and the round cap. ``rows`` are ``(story_id, round, seeded, n_accepted)``, a bounded number of
+    rounds a story, so that its windows, all on ``story_id``, share one small shuffle."""
+    limit = round_cap(max_events, max_val)
+    n_prior = F.lit(0)
+    if prior is not None:
+        rows = rows.join(prior.groupBy("story_id").agg(F.count(F.lit(1)).alias("_prior")), "story_id", "left")
+        n_prior = F.coalesce("_prior", F.lit(0))
+    story = Window.partitionBy("story_id")
+    earlier = story.orderBy("round").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.select(*rows.columns,
+                       (F.coalesce(F.sum("n_accepted").over(earlier), F.lit(0)) + n_prior).alias("accepted_before"),
+                       F.coalesce(F.sum(F.col("seeded").cast("long")).over(earlier), F.lit(0)).alias("_nth"))
+    in_play = F.col("seeded") & (F.col("round") < limit)
+    capped = F.min(F.when(in_play & (F.col("accepted_before") >= max_events), F.col("round"))).over(story)
+    empty = F.sum((in_play & (F.col("round") == F.col("_nth"))).cast("long")).over(story)
+    rows = rows.select(*rows.columns, capped.alias("_capped"), empty.alias("_empty"))
+    rows = rows.join(gate_complete(completeness), "story_id", "left")
+    stop = F.least(F.coalesce("complete_round", F.lit(limit)), F.col("_empty"), F.coalesce("_capped", F.lit(limit)),
+                   F.lit(limit))
+    return rows.withColumn("stop_round", stop.cast("int"))
+
+
 def stop_rounds(cands: DataFrame, verdicts: DataFrame, completeness: DataFrame, max_events: int, max_val: int,
                 prior: DataFrame | None = None) -> DataFrame:
-    """First round not played per story: min of complete, capped, empty and the round cap."""
-    stories = cands.select("story_id").distinct()
-    if prior is not None:
-        stories = stories.unionByName(prior.select("story_id")).distinct()
-    cap = gate_max_events(cands, verdicts, max_events, max_val, prior)
-    cap = cap.where(F.col("at_cap")).groupBy("story_id").agg(F.min("round").alias("cap_round"))
-    if prior is not None:
-        p = prior.groupBy("story_id").agg(F.count(F.lit(1)).alias("n_prior"))
-        cap0 = p.where(F.col("n_prior") >= max_events).select("story_id", F.lit(0).alias("cap_round0"))
-    s = (stories.join(gate_complete(completeness), "story_id", "left")
-         .join(gate_no_candidates(cands), "story_id", "left")
-         .join(cap, "story_id", "left"))
-    if prior is not None:
-        s = s.join(cap0, "story_id", "left").withColumn("cap_round", F.least("cap_round", "cap_round0"))
+    """First round not played per story: min of complete, capped, empty and the round cap. Rounds recorded beyond the
+    cap count as one, which keeps their story in the result."""
     limit = round_cap(max_events, max_val)
-    return s.select("story_id", F.least(F.coalesce("complete_round", F.lit(limit)),
-                                        F.coalesce("empty_round", F.lit(0)),
-                                        F.coalesce("cap_round", F.lit(limit)),
-                                        F.lit(limit)).cast("int").alias("stop_round"))
+    live = validation_live_iters(cands, verdicts, max_val)
+    rounds = live.groupBy("story_id", F.least("round", F.lit(limit)).alias("round")).agg(
+        F.max(F.col("val_iter") == 0).alias("seeded"),
+        F.sum(F.when(F.col("live"), F.col("n_accepted")).otherwise(0)).alias("n_accepted"))
+    stops = _with_stop(rounds, completeness, max_events, max_val, prior)
+    stops = stops.groupBy("story_id").agg(F.min("stop_round").alias("stop_round"))
+    if prior is not None:
+        stops = stops.join(prior.select("story_id").distinct(), "story_id", "full").fillna(0, ["stop_round"])
+    return stops
+
+
+def played_batches(cands: DataFrame, verdicts: DataFrame, completeness: DataFrame, max_events: int, max_val: int,
+                   prior: DataFrame | None = None) -> DataFrame:
+    """Live passes of rounds before the stop round, with ``n_before``: events of the story, prior ones included, that
+    are accepted before the batch."""
+    live = validation_live_iters(cands, verdicts, max_val)
+    live = live.where(F.col("live") & (F.col("round") < round_cap(max_events, max_val)))
+    rows = live.select(*BATCH, (F.col("val_iter") == 0).alias("seeded"), "n_accepted")
+    passes = (Window.partitionBy("story_id", "round").orderBy("val_iter")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    played = _with_stop(rows, completeness, max_events, max_val, prior)
+    played = played.withColumn("_passes", F.coalesce(F.sum("n_accepted").over(passes), F.lit(0)))
+    return played.where(F.col("round") < F.col("stop_round")).select(
+        *BATCH, (F.col("accepted_before") + F.col("_passes")).alias("n_before"))
 
 
 def accepted_in_play(cands: DataFrame, verdicts: DataFrame, completeness: DataFrame, max_events: int,
                      max_val: int, prior: DataFrame | None = None) -> DataFrame:
     """Accepted candidates of live passes of rounds before the stop round."""
-    live = validation_live_iters(cands, verdicts, max_val).where(F.col("live")).select(*BATCH)
-    acc = accepted_split(cands, verdicts).join(live, BATCH)
-    stop = stop_rounds(cands, verdicts, completeness, max_events, max_val, prior)
-    return acc.join(stop, "story_id").where(F.col("round") < F.col("stop_round")).drop("stop_round")
+    played = played_batches(cands, verdicts, completeness, max_events, max_val, prior)
+    return accepted_split(cands, verdicts).join(played.drop("n_before"), BATCH)
 
 
 def append_accepted(accepted: DataFrame, prior: DataFrame | None = None) -> DataFrame:
@@ -175,11 +208,26 @@ def resolve_event_ids(events: DataFrame) -> DataFrame:
     return r.withColumnRenamed("event_id", "natural_id").withColumnRenamed("_lf_resolved", "event_id")
 
 
+def accepted_events(cands: DataFrame, verdicts: DataFrame, completeness: DataFrame, max_events: int, max_val: int,
+                    prior: DataFrame | None = None) -> DataFrame:
+    """O13 on recorded batches: ``append_accepted(accepted_in_play(...))`` in one pass, since the batches already know
+    how many events come before them; an event's number is that plus its place in the batch."""
+    played = played_batches(cands, verdicts, completeness, max_events, max_val, prior)
+    place = F.row_number().over(Window.partitionBy(*BATCH).orderBy("first_pos"))
+    acc = accepted_split(cands, verdicts).join(played, BATCH)
+    acc = acc.withColumn("event_seq", (F.col("n_before") + place).cast("long")).drop("n_before")
+    if prior is None:
+        return acc
+    first = seq_number(prior.withColumnRenamed("event_seq", "_prior_seq"), ["story_id"], ["_prior_seq"], "event_seq",
+                       block=[block_of("_prior_seq")]).drop("_prior_seq")
+    return acc.unionByName(first, allowMissingColumns=True)
+
+
 def outline_fold(cands: DataFrame, verdicts: DataFrame, completeness: DataFrame, max_events: int, max_val: int,
                  prior: DataFrame | None = None) -> DataFrame:
-    """Replay recorded responses of all rounds to the final accepted event list, in one query."""
-    acc = accepted_in_play(cands, verdicts, completeness, max_events, max_val, prior)
-    return resolve_event_ids(append_accepted(acc, prior))
+    """Replay recorded responses of all rounds to the final accepted event list. The accepted events are written
+    to the shared folder once; ids are resolved from that table."""
+    return resolve_event_ids(written(accepted_events(cands, verdicts, completeness, max_events, max_val, prior)))
 
 
 def relations_valid(relations: DataFrame, events: DataFrame) -> DataFrame:

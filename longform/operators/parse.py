@@ -59,21 +59,31 @@ def parse_clean(responses: DataFrame, text_col: str = "response_text") -> DataFr
             .withColumn("v", F.when(F.col("cleaned") != "", F.try_parse_json(F.col("cleaned")))))
 
 
+KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+
+
+def _list(v: Column) -> Column:
+    """The elements of a JSON array (null for any other value)."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _leaf(v: Column) -> Column:
+    """Type name of a variant; cheap for values that hold no others."""
+    return F.schema_of_variant(v)
+
+
 def _kind(v: Column) -> Column:
     """JSON kind of a variant: object, array, string, number, boolean, null (missing gives null)."""
-    t = F.schema_of_variant(v)
+    names = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    kind = F.coalesce(names[F.substring_index(_leaf(v), "<", 1)], F.lit("number"))
     return (F.when(v.isNull(), F.lit(None))
-            .when(t.startswith("OBJECT"), F.lit("object"))
-            .when(t.startswith("ARRAY"), F.lit("array"))
-            .when(t == "STRING", F.lit("string"))
-            .when(t == "BOOLEAN", F.lit("boolean"))
-            .when(t == "VOID", F.lit("null"))
-            .otherwise(F.lit("number")))
+            .when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.lit("object"))
+            .when(_list(v).isNotNull(), F.lit("array")).otherwise(kind))
 
 
 def parse_explode(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """R2: a single value becomes a one-element list; elements are numbered from 0."""
-    arr = F.when(_kind(F.col("v")) == "array", F.col("v").cast("array<variant>")).otherwise(F.array(F.col("v")))
+    arr = F.coalesce(_list(F.col("v")), F.array(F.col("v")))
     x = parsed.where(F.col("v").isNotNull()).select(*keys, F.posexplode(arr).alias("pos", "e"))
     return x.withColumn("elem_kind", _kind(F.col("e")))
 
@@ -84,16 +94,13 @@ def _get(e: Column, path: str) -> Column:
 
 
 def _str_rule(x: Column) -> tuple[Column, Column]:
-    return _kind(x) == "string", F.try_variant_get(x, "$", "string")
+    return _leaf(x) == "STRING", F.try_variant_get(x, "$", "string")
 
 
 def _float_rule(x: Column) -> tuple[Column, Column]:
-    k = _kind(x)
     s = F.trim(F.try_variant_get(x, "$", "string"))
-    num = F.try_variant_get(x, "$", "double")
-    from_str = F.when(k == "string", s.try_cast("double"))
-    val = (F.when(k == "number", num).when(k == "boolean", F.try_variant_get(x, "$", "boolean").cast("double"))
-           .when(k == "string", from_str))
+    val = (F.when(_leaf(x) == "STRING", s.try_cast("double"))
+           .otherwise(F.try_variant_get(x, "$", "double")))  # numbers and booleans; null for objects and arrays
     return val.isNotNull(), val
 
 
@@ -120,18 +127,17 @@ def _int_rule(x: Column) -> tuple[Column, Column]:
 
 
 def _list_str_rule(x: Column) -> tuple[Column, Column]:
-    arr = F.when(_kind(x) == "array", x.cast("array<variant>"))
-    ok = arr.isNotNull() & F.forall(F.coalesce(arr, F.array()), lambda y: _kind(y) == "string")
+    arr = _list(x)
+    ok = arr.isNotNull() & F.forall(F.coalesce(arr, F.array()), lambda y: _leaf(y) == "STRING")
     return ok, F.when(ok, F.transform(arr, lambda y: F.try_variant_get(y, "$", "string")))
 
 
 def _characters_rule(x: Column) -> tuple[Column, Column]:
-    arr = F.when(_kind(x) == "array", x.cast("array<variant>"))
+    arr = _list(x)
 
-    def one_ok(y: Column) -> Column:
-        return (_kind(y) == "object") & F.coalesce(
-            (_kind(_get(y, "$.name")) == "string") & (_kind(_get(y, "$.role")) == "string")
-            & (_kind(_get(y, "$.state")) == "string"), F.lit(False))
+    def one_ok(y: Column) -> Column:  # a path into anything but an object gives null
+        return F.coalesce((_leaf(_get(y, "$.name")) == "STRING") & (_leaf(_get(y, "$.role")) == "STRING")
+                          & (_leaf(_get(y, "$.state")) == "STRING"), F.lit(False))
 
     ok = arr.isNotNull() & F.forall(F.coalesce(arr, F.array()), one_ok)
     val = F.transform(arr, lambda y: F.struct(
@@ -294,16 +300,19 @@ def salvage_json(text: str) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def _repair(texts: pd.Series) -> pd.Series:
+def _repair_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: salvage_json(t) if isinstance(t, str) else None).astype(object)
 
 
+# Not to be evaluated again for a filter on its result: the optimizer pushes no condition through it.
+_repair = _repair_udf.asNondeterministic()
+
+
 def parse_repaired(responses: DataFrame, text_col: str = "response_text") -> DataFrame:
     """R1 with repair: as ``parse_clean``; texts it could not parse, or found no object in (the parser stops after a
     leading ``[1]`` of chatter), are repaired in Arrow batches and parsed again. All other texts cross to Python as
     nulls. ``repaired`` is the repaired text (null: none was needed or found)."""
     parsed = parse_clean(responses, text_col)
-    arr = F.when(_kind(F.col("v")) == "array", F.col("v").cast("array<variant>"))
-    no_object = F.coalesce(F.forall(arr, lambda y: _kind(y) != "object"), F.lit(False))
+    no_object = F.coalesce(F.forall(_list(F.col("v")), lambda y: _kind(y) != "object"), F.lit(False))
     fixed = parsed.withColumn("repaired", _repair(F.when(F.col("v").isNull() | no_object, F.col(text_col))))
     return fixed.withColumn("v", F.coalesce(F.try_parse_json("repaired"), F.col("v")))

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -63,3 +64,11 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder for stage tables written between rounds."""
     base = checkpoint_dir(spark).rstrip("/")
     return "/".join([base, "longform", *parts])
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: for rows that a plan reads several times and that are dear to derive."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

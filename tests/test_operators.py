@@ -180,3 +180,27 @@ def test_causal_chain_counts_the_longest_forward_chain(spark):
     got = {r.story_id: (r.n_links, r.n_events) for r in causal_chain(rel, events).collect()}
     assert got == {1: (3, 4), 3: (1, 2)}
     assert causal_chain(rel.where("false"), events).count() == 0
+
+
+def test_fold_in_one_pass_numbers_as_append_does(spark):
+    rows = [(s, r, v, p, f"E{(s * 31 + r * 7 + v * 3 + p) % 5}", f"t{s}{r}{v}{p}")
+            for s in range(12) for r in range(5) for v in range(3) for p in range(3)
+            if not (s == 3 and r == 2) and not (s == 4 and v == 0 and r == 1) and not (s == 5 and r == 0)]
+    c = spark.createDataFrame(rows, "story_id long, round int, val_iter int, pos int, event_id string, title string")
+    v = spark.createDataFrame([(*r[:5], (r[0] + r[1] + r[2] * r[3]) % 3 == 0, "") for r in rows if sum(r[:4]) % 7],
+                              "story_id long, round int, val_iter int, pos int, event_id string, valid boolean, "
+                              "suggestion string")
+    comp = spark.createDataFrame([(s, r, s == 6 and r == 2) for s in range(12) for r in range(5)],
+                                 "story_id long, round int, complete boolean")
+    prior = spark.createDataFrame([(s, i * 3 + 1, f"E{i}", "old") for s in (1, 2, 40) for i in range(s)],
+                                  "story_id long, event_seq long, event_id string, title string")
+    cols = ["story_id", "event_seq", "event_id", "title"]
+    for old in (None, prior):
+        args = (c, v, comp, 6, 2, old)
+        slow = O.append_accepted(O.accepted_in_play(*args), old).select(*cols)
+        fast = O.accepted_events(*args).select(*cols)
+        assert slow.count() == fast.count() > 0
+        assert slow.exceptAll(fast).count() == 0
+    stops = {r.story_id: r.stop_round for r in O.stop_rounds(c, v, comp, 6, 2, prior).collect()}
+    assert set(stops) == set(range(12)) | {40}
+    assert stops[40] == 0 and stops[5] == 0 and stops[3] <= 2 and stops[4] <= 1 and stops[6] <= 2
