@@ -359,3 +359,39 @@ q_chain AS (SELECT story_id, seq_from AS seq_at, CAST(0 AS BIGINT) AS n FROM q_l
 SELECT story_id, max(n) AS n_links, max(n) + 1 AS n_events FROM q_chain GROUP BY story_id""")
 def chk_causal_chain(spark, sf):
     return Q.causal_chain(_rel(spark, sf), fx(spark, sf).events)
+
+
+@register("chk_passage_scores", """
+SELECT story_id, pos, score_name, score FROM (
+  SELECT story_id, pos, 'relevance_score' AS score_name, relevance_score AS score FROM fx_passages
+  UNION ALL SELECT story_id, pos, 'confidence', confidence FROM fx_passages) u
+WHERE score < 0 OR score > 1""")
+def chk_passage_scores(spark, sf):
+    return Q.passage_score_range(fx(spark, sf).passages)
+
+
+@register("chk_order_jumps", """
+SELECT * FROM (
+  SELECT story_id, pos, sub_seq, coalesce(sub_seq < prior_max, false) AS flashback,
+         coalesce(sub_seq > later_min, false) AS flash_forward FROM (
+    SELECT r.story_id, r.pos, s.sub_seq,
+           max(s.sub_seq) OVER (PARTITION BY r.story_id ORDER BY r.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+             AS prior_max,
+           min(s.sub_seq) OVER (PARTITION BY r.story_id ORDER BY r.pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+             AS later_min
+    FROM fx_reading r JOIN fx_sub_events s ON s.story_id = r.story_id AND s.sub_event_id = r.sub_event_id) x) y
+WHERE flashback OR flash_forward""")
+def chk_order_jumps(spark, sf):
+    f = fx(spark, sf)
+    slots = W.reading_order(f.chapters).join(f.sub_events.select("story_id", "sub_event_id", "sub_seq"),
+                                             ["story_id", "sub_event_id"])
+    return Q.order_jumps(slots.select("story_id", "pos", "sub_seq"))
+
+
+@register("chk_chapter_spread", """
+SELECT story_id, count(*) AS n_chapters, round(stddev_pop(len(sub_event_ids)), 6) AS stddev_size,
+       round(quantile_cont(len(sub_event_ids), 0.5), 6) AS median_size,
+       round(quantile_cont(len(sub_event_ids), 0.9), 6) AS p90_size
+FROM fx_chapters GROUP BY story_id""")
+def chk_chapter_spread(spark, sf):
+    return Q.chapter_spread(fx(spark, sf).chapters)

@@ -181,3 +181,32 @@ def req_write(spark, sf):
 def req_revise_passage(spark, sf):
     f = fx(spark, sf)
     return _out(T.req_revise_passage(f.stories, _graph_json(spark, sf), f.passages, f.sub_events), ["story_id", "pos"])
+
+
+@register("req_completeness_rounds", "WITH " + Q_ACCEPTED + """,
+q_rounds AS (SELECT DISTINCT story_id, round FROM fx_completeness),
+q_pre AS (SELECT c.story_id, c.round, string_agg(a.event_json, chr(10) ORDER BY a.event_seq) AS events
+          FROM q_rounds c JOIN q_acc a ON a.story_id = c.story_id AND a.round < c.round
+          GROUP BY c.story_id, c.round)
+""" + _sql_out("completeness", "story_id, round",
+               T.render_sql("completeness", {"premise": "s.premise", "events": "q.events"}),
+               "q_rounds c JOIN fx_stories s USING (story_id) LEFT JOIN q_pre q USING (story_id, round)"))
+def req_completeness_rounds(spark, sf):
+    f = fx(spark, sf)
+    return _out(T.req_completeness_rounds(f.stories, _accepted(spark, sf), f.completeness), ["story_id", "round"])
+
+
+@register("req_validate_rounds", "WITH " + Q_ACCEPTED + f""",
+q_cand AS (SELECT c.story_id, c.round, c.val_iter, string_agg({CAND_JSON_SQL}, chr(10) ORDER BY c.pos) AS candidates
+           FROM fx_candidate_records c GROUP BY c.story_id, c.round, c.val_iter),
+q_pre AS (SELECT c.story_id, c.round, c.val_iter, string_agg(a.event_json, chr(10) ORDER BY a.event_seq) AS events
+          FROM q_cand c JOIN q_acc a ON a.story_id = c.story_id
+           AND (a.round < c.round OR a.round = c.round AND a.val_iter < c.val_iter)
+          GROUP BY c.story_id, c.round, c.val_iter)
+""" + _sql_out("validate", "story_id, round, val_iter",
+               T.render_sql("validate", {"premise": "s.premise", "events": "t.events", "candidates": "q.candidates"}),
+               "q_cand q JOIN fx_stories s USING (story_id) LEFT JOIN q_pre t USING (story_id, round, val_iter)"))
+def req_validate_rounds(spark, sf):
+    f = fx(spark, sf)
+    r = T.req_validate_rounds(f.stories, _accepted(spark, sf), f.candidate_records)
+    return _out(r, ["story_id", "round", "val_iter"])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from longform.catalog import register
-from longform.catalog.common import RUN_ID, fx
-from longform.catalog.outline import Q_GRAPH, graph_frame
+from longform.catalog.common import MAX_EVENTS, MAX_VAL, RUN_ID, fx
+from longform.catalog.outline import Q_GRAPH, Q_STOP, graph_frame
 from longform.catalog.planning import Q_PLAN
 from longform.catalog.writing import Q_CHAPTERS
+from longform.operators import outline as O
 from longform.operators import writing as W
 from longform.operators.planning import story_plan as story_plan_frame
 from longform.plans import sinks as S
@@ -65,3 +66,37 @@ FROM fx_stories s LEFT JOIN (SELECT story_id, string_agg(chapter_json, ',' ORDER
 def sink_chapters(spark, sf):
     f = fx(spark, sf)
     return S.chapter_rows(f.stories, W.chapter_text(f.chapters, f.passages))
+
+
+@register("run_counters_rounds", "WITH " + Q_STOP.strip() + """,
+q_rounds AS (
+  SELECT c.story_id, c.round, count(*) FILTER (WHERE c.val_iter = 0) AS candidates,
+         count(*) FILTER (WHERE v.valid) AS accepted, count(*) FILTER (WHERE NOT v.valid) AS to_revise,
+         count(*) FILTER (WHERE c.val_iter > 0) AS revised
+  FROM q_cand_dedup c
+  JOIN q_live l ON l.story_id = c.story_id AND l.round = c.round AND l.val_iter = c.val_iter AND l.live
+  JOIN q_stop s ON s.story_id = c.story_id AND c.round < s.stop_round
+  LEFT JOIN q_verd_dedup v ON v.story_id = c.story_id AND v.round = c.round AND v.val_iter = c.val_iter
+   AND v.event_id = c.event_id
+  GROUP BY c.story_id, c.round)
+SELECT 'candidates' AS stage, story_id, round, candidates AS n FROM q_rounds
+UNION ALL SELECT 'accepted', story_id, round, accepted FROM q_rounds
+UNION ALL SELECT 'total', story_id, round, CAST(sum(accepted) OVER (PARTITION BY story_id ORDER BY round) AS BIGINT)
+          FROM q_rounds
+UNION ALL SELECT 'to_revise', story_id, round, to_revise FROM q_rounds
+UNION ALL SELECT 'revised', story_id, round, revised FROM q_rounds
+UNION ALL SELECT 'relations', story_id, NULL, count(*) FROM fx_relations GROUP BY story_id
+UNION ALL SELECT 'sub_events', story_id, NULL, count(*) FROM fx_sub_events GROUP BY story_id
+UNION ALL SELECT 'chapters', story_id, NULL, count(*) FROM fx_chapters GROUP BY story_id
+UNION ALL SELECT 'passages', story_id, NULL, count(*) FROM fx_passages GROUP BY story_id""")
+def run_counters_rounds(spark, sf):
+    """The nine counters of a run, those of the outline by round."""
+    f = fx(spark, sf)
+    c = f.candidates.select("story_id", "round", "val_iter", "pos", "event_id", "event_key")
+    played = O.played_batches(c, f.verdicts, f.completeness, MAX_EVENTS, MAX_VAL)
+    out = S.round_counters(c, f.verdicts, played).select("stage", "story_id", "round", "n")
+    for name, d in [("relations", f.relations), ("sub_events", f.sub_events), ("chapters", f.chapters),
+                    ("passages", f.passages)]:
+        out = out.unionByName(d.groupBy("story_id").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("stage"), "story_id", F.lit(None).cast("int").alias("round"), "n"))
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from longform.functions.graph import components
 from longform.functions.records import ordered_text
-from longform.functions.seq import block_of, running_max_before, seq_number, with_neighbour
+from longform.functions.seq import block_of, running_max_before, running_min_after, seq_number, with_neighbour
 from longform.operators.writing import event_adjacency
 from longform.session import checkpoint_dir
 
@@ -99,6 +99,13 @@ def score_range(events: DataFrame) -> DataFrame:
     return u.where((F.col("score") < 0) | (F.col("score") > 1))
 
 
+def passage_score_range(passages: DataFrame) -> DataFrame:
+    """Q9 for passages: relevance of the compressed context and confidence of the revision outside 0..1 (unpivoted)."""
+    u = passages.select("story_id", "pos", F.expr(
+        "stack(2, 'relevance_score', relevance_score, 'confidence', confidence) AS (score_name, score)"))
+    return u.where((F.col("score") < 0) | (F.col("score") > 1))
+
+
 def required_fields(events: DataFrame) -> DataFrame:
     """Q10: events with an empty time, location, goal, conflict or cast."""
     u = events.select("story_id", "event_id", F.expr(
@@ -163,6 +170,25 @@ def nonlinear_order(slots_with_seq: DataFrame) -> DataFrame:
     return r.where(F.col("sub_seq") < F.col("prior_max")).select("story_id", "pos", "sub_seq", "prior_max")
 
 
+def order_jumps(slots_with_seq: DataFrame) -> DataFrame:
+    """Q17, both ways: a slot is a flashback if an earlier slot reads a later plan position, and a flash-forward if a later
+    slot reads an earlier one. Running extremes are taken in blocks, so no window holds a whole story."""
+    r = running_max_before(slots_with_seq, ["story_id"], "pos", "sub_seq", "prior_max")
+    r = running_min_after(r, ["story_id"], "pos", "sub_seq", "later_min")
+    r = r.select("story_id", "pos", "sub_seq", F.coalesce(F.col("sub_seq") < F.col("prior_max"), F.lit(False)).alias(
+        "flashback"), F.coalesce(F.col("sub_seq") > F.col("later_min"), F.lit(False)).alias("flash_forward"))
+    return r.where(F.col("flashback") | F.col("flash_forward"))
+
+
+def chapter_spread(chapters: DataFrame) -> DataFrame:
+    """Q18: standard deviation, median and 90th percentile (interpolated) of a story's chapter sizes."""
+    c = chapters.select("story_id", F.size("sub_event_ids").alias("size"))
+    return c.groupBy("story_id").agg(
+        F.count(F.lit(1)).alias("n_chapters"), F.round(F.stddev_pop("size"), 6).alias("stddev_size"),
+        F.round(F.percentile("size", F.lit(0.5)), 6).alias("median_size"),
+        F.round(F.percentile("size", F.lit(0.9)), 6).alias("p90_size"))
+
+
 def chapter_sizes(chapters: DataFrame) -> DataFrame:
     """Q18: spread of chapter sizes per story."""
     c = chapters.select("story_id", F.size("sub_event_ids").alias("size"))

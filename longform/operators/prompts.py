@@ -94,6 +94,28 @@ def req_validate(stories: DataFrame, events: DataFrame, candidates: DataFrame, b
     return with_hash(s.select(*batch, p.alias("prompt")), "validate")
 
 
+def req_completeness_rounds(stories: DataFrame, accepted: DataFrame, rounds: DataFrame) -> DataFrame:
+    """T1 as it is asked: one request for each round ``(story_id, round)``, over the events accepted in earlier rounds.
+    ``accepted`` carries ``round`` and ``val_iter``."""
+    text = _prefix_text(rounds.select("story_id", "round").distinct(), accepted, F.col("_round") < F.col("round"))
+    p = render("completeness", {"premise": F.col("premise"), "events": F.col("events")})
+    return with_hash(text.join(stories, "story_id").select("story_id", "round", p.alias("prompt")), "completeness")
+
+
+def req_validate_rounds(stories: DataFrame, accepted: DataFrame, candidates: DataFrame) -> DataFrame:
+    """T3 as it is asked: a batch's candidates against the events accepted in earlier rounds and earlier passes of the
+    same round. ``accepted`` as in ``req_completeness_rounds``."""
+    batch = ["story_id", "round", "val_iter"]
+    cand = candidates.groupBy(*batch).agg(ordered_text(event_json(), F.col("pos"), "\n").alias("candidates"))
+    earlier = (F.col("_round") < F.col("round")) | ((F.col("_round") == F.col("round"))
+                                                    & (F.col("_val_iter") < F.col("val_iter")))
+    text = _prefix_text(candidates.select(*batch).distinct(), accepted, earlier)
+    s = cand.join(text, batch).join(stories, "story_id")
+    p = render("validate", {"premise": F.col("premise"), "events": F.col("events"),
+                            "candidates": F.col("candidates")})
+    return with_hash(s.select(*batch, p.alias("prompt")), "validate")
+
+
 def req_relations(stories: DataFrame, events: DataFrame) -> DataFrame:
     """T5: premise and all accepted events."""
     s = stories.join(events_text(events), "story_id", "left")

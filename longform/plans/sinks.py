@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longform.functions.records import ordered_text
+from longform.operators.outline import match_verdicts
 from longform.schemas import PASSAGE_TS_FORMAT
 
 
@@ -31,6 +32,20 @@ def run_counters(counts: DataFrame) -> DataFrame:
     return counts.rollup("stage", "story_id").agg(F.sum("n").alias("n"))
 
 
+def round_counters(candidates: DataFrame, verdicts: DataFrame, played: DataFrame) -> DataFrame:
+    """S7 of the outline, ``(stage, story_id, round, n)`` for each round that was played (``outline.played_batches``): seed
+    candidates, accepted, events in all after the round, to revise and revised candidates."""
+    batch = ["story_id", "round", "val_iter"]
+    c = match_verdicts(candidates, verdicts, "left").join(played, batch)
+    r = c.groupBy("story_id", "round").agg(
+        F.count_if(F.col("val_iter") == 0).alias("candidates"), F.count_if("valid").alias("accepted"),
+        F.min("n_before").alias("_before"), F.count_if(~F.col("valid")).alias("to_revise"),
+        F.count_if(F.col("val_iter") > 0).alias("revised"))
+    return r.select("story_id", "round", F.expr(
+        "stack(5, 'candidates', candidates, 'accepted', accepted, 'total', _before + accepted, 'to_revise', to_revise, "
+        "'revised', revised) AS (stage, n)"))
+
+
 def plan_rows(plan: DataFrame) -> DataFrame:
     """``(story_id, plan_json)`` from the story plan."""
     return plan.select("story_id", F.to_json(F.struct("premise", "event_graph", "sub_events", "chapters"),
