@@ -42,3 +42,32 @@ def test_sentences_repeated_from_the_context(spark):
                                  "story_id long, pos long, sibling_id string, visible_pos long")
     got = {(r["pos"], r["sentence"], r["n_earlier"]) for r in Q.repeated_in_context(passages, seen).collect()}
     assert got == {(2, "C d", 1), (3, "C d", 2), (3, "A b", 1)}
+
+
+def _sorted_or_sent(df) -> list[str]:
+    """Lines of a plan without small tables that sort or shuffle rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
+    kept = conf.get(name)
+    conf.set(name, "-1")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        conf.set(name, kept)
+    return [x for x in plan.splitlines() if "Sort [" in x or "Exchange hashpartitioning" in x]
+
+
+PASSAGE = "story_id long, pos long, sub_event_id string, raw_text string, summary_text string"
+SEEN = "story_id long, pos long, sibling_id string, sibling_seq long, visible_pos long"
+
+
+def test_word_runs_pass_the_names_unsorted(spark):
+    text = "Ann Lee met Ann Lee. Zoë, Lord of the Far High Hills"
+    events = spark.createDataFrame([(1, "E", 1, [(c, "r", "s") for c in (
+        "Ann Lee", "Zoë", "Lord of the Far High Hills", "Lord of the Far High Seas", "Far High Hills and More Beyond")])], EVENT)
+    subs = spark.createDataFrame([(1, "S", [("Zoë", "r", "s")])],
+                                 "story_id long, sub_event_id string, characters array<struct<name:string,role:string,state:string>>")
+    passages = spark.createDataFrame([(1, 1, "S", text, ""), (1, 1, "S", text, ""), (1, 2, "S", None, ""), (2, 1, "S", text, ""),
+                                      (None, 1, "S", text, "")], PASSAGE)
+    r = Q.wrong_names(passages, subs, events)
+    assert sorted((x["pos"], x["name"]) for x in r.collect()) == [(1, "Ann Lee"), (1, "Lord of the Far High Hills")]
+    assert not [x for x in _sorted_or_sent(r) if "Sort [" in x and "_gram" in x]
