@@ -71,3 +71,28 @@ def test_word_runs_pass_the_names_unsorted(spark):
     r = Q.wrong_names(passages, subs, events)
     assert sorted((x["pos"], x["name"]) for x in r.collect()) == [(1, "Ann Lee"), (1, "Lord of the Far High Hills")]
     assert not [x for x in _sorted_or_sent(r) if "Sort [" in x and "_gram" in x]
+
+
+def test_new_facts_make_no_row_for_each_word(spark):
+    passages = spark.createDataFrame([
+        (1, 1, "S", "Red fox. Old oak", "a red fox"), (1, 2, "T", "blue", "Old red moon"), (1, 3, "U", "", "oak oak BLUE sea"),
+        (1, 3, "U", "", "oak sand"), (1, 4, "V", "x", None), (1, 5, "W", "x", "..."), (None, 6, "X", "x", "one")], PASSAGE)
+    seen = spark.createDataFrame([(1, 2, "S", 1, 1), (1, 3, "S", 1, 1), (1, 3, "T", 2, 2), (1, 1, "T", 2, None)], SEEN)
+    r = Q.summary_new_facts(seen, passages)
+    got = {(x["story_id"], x["pos"]): (x["n_words"], x["n_new"]) for x in r.collect()}
+    assert got == {(1, 1): (3, 3), (1, 2): (3, 1), (1, 3): (5, 2), (None, 6): (1, 1)}
+    assert not [x for x in _sorted_or_sent(r) if "word#" in x]
+
+
+def test_sentences_of_a_history_are_counted_before_they_are_sorted(spark):
+    passages = spark.createDataFrame([(1, 1, "S", "Red fox. A moon. Old red oak. Sea", ""), (1, 2, "T", "Oak. Oak fox", "")], PASSAGE)
+    seen = spark.createDataFrame([(1, 2, "S", 1, 1), (1, 3, "S", 1, 1), (1, 3, "T", 2, 2)], SEEN)
+    slots = spark.createDataFrame([(1, 2, "T"), (1, 3, "U")], "story_id long, pos long, sub_event_id string")
+    subs = spark.createDataFrame([(1, "T", "moon", "walk"), (1, "U", "red", "oak fox sky")],
+                                 "story_id long, sub_event_id string, title string, summary string")
+    r = Q.extract_summary(seen, passages, slots, subs)
+    assert sorted((x["pos"], x["n_sentences"], x["summary"], x["relevance"]) for x in r.collect()) == [
+        (2, 1, "A moon", 0.5), (3, 3, "Red fox | Old red oak | Oak fox", 0.5)]
+    plan = r._jdf.queryExecution().executedPlan().toString().splitlines()
+    made = [x for x in plan if "Generate " in x]
+    assert made and not any("posexplode(" in x for x in made)
