@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from longform.functions.seq import block_of, seq_number, with_neighbour
 from longform.session import plain_session, story_session
+from longform.sources import fixtures
 from longform.sources.fixtures import Fixtures, by_story
 
 ROWS = [(1, 1, 2), (1, 1, 1), (1, 2, 5), (1, None, 9), (2, 5000, 1), (2, 4, 3), (None, 2, 2), (None, 1, 7), (None, None, 1)]
@@ -70,3 +71,11 @@ def test_relations_have_all_variants_from_one_pass(spark, tmp_path):
     got = [(r["rel_seq"], r["type"], r["source_event_id"], r["target_event_id"]) for r in f.relations.collect()]
     assert sorted(got) == [(1, "temporal", "E1", "E2"), (2, "temporal", "E1", "E2"), (3, "temporal", "E2", "E3"),
                            (4, "temporal", "E3", "E2")]
+
+
+def test_parts_of_stories_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixtures, "PART_BYTES", 256, raising=False)
+    day = datetime(1998, 5, 25)
+    f = _tables(spark, tmp_path, [(k, 5, 0, 1, 1.0, "N", "O", day) for k in (1, 2, 3)])
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f.order_keys.rdd.getNumPartitions() == f.sub_event_keys.rdd.getNumPartitions() > usual
