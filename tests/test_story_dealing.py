@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from longform.functions.seq import block_of, seq_number, with_neighbour
+from longform.operators.prompts import req_compress
+from longform.operators.writing import context_text
 from longform.session import plain_session, story_session
 from longform.sources import fixtures
 from longform.sources.fixtures import Fixtures, by_story
@@ -79,3 +81,57 @@ def test_parts_of_stories_grow_with_the_tables(spark, tmp_path, monkeypatch):
     f = _tables(spark, tmp_path, [(k, 5, 0, 1, 1.0, "N", "O", day) for k in (1, 2, 3)])
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert f.order_keys.rdd.getNumPartitions() == f.sub_event_keys.rdd.getNumPartitions() > usual
+
+
+CAST = "array<struct<name:string,role:string,state:string>>"
+
+
+def _context_tables(spark):
+    def events(*rows):
+        return spark.createDataFrame([(1, i, k, k, "", "", "", [], "", "", 0.0, 0.0) for i, k in rows], (
+            f"story_id long, event_seq long, event_id string, title string, summary string, time string, location string, "
+            f"characters {CAST}, goal string, conflict string, novelty_score double, coherence_score double"))
+    subs = spark.createDataFrame([(1, 1, "a", "E1", "A", "", []), (1, 2, "b", "E1", "B", "", []), (1, 3, "c", "E2", "C", "", []),
+                                  (1, 4, "d", "E9", "D", "", [])],
+                                 f"story_id long, sub_seq long, sub_event_id string, parent_event_id string, title string, "
+                                 f"summary string, characters {CAST}")
+    order = ["a", "b", "a", "c", "b", "d", "x"]
+    slots = spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(order)], "story_id long, pos long, sub_event_id string")
+    passages = spark.createDataFrame(
+        [(1, i + 1, x, "s", 0.5, f"text {i + 1}", "", [], "", 0.0) for i, x in enumerate(order[:5])],
+        "story_id long, pos long, sub_event_id string, summary_text string, relevance_score double, raw_text string, "
+        "suggestions string, issues array<string>, revised_text string, confidence double")
+    links = spark.createDataFrame([(1, 1, "causal", "E1", "E2", "")], "story_id long, rel_seq long, type string, "
+                                  "source_event_id string, target_event_id string, rationale string")
+    return slots, subs, events, links, passages
+
+
+def _told(text):
+    """What a context shows: event ids, titles of sub-events and raw texts, in order."""
+    import json
+    lines = [json.loads(x) for x in text.split("\n") if x]
+    return [x.get("raw_text") or x.get("event_id") or x["title"] for x in lines]
+
+
+def test_a_context_shows_siblings_with_their_latest_earlier_passage(spark):
+    slots, subs, events, links, passages = _context_tables(spark)
+    got = context_text(slots, subs, events((1, "E1"), (2, "E2")), links, passages).collect()
+    assert {r["pos"]: _told(r["context"]) for r in got} == {
+        1: ["E1", "E2", "B"], 2: ["E1", "E2", "A", "text 1"], 3: ["E1", "E2", "B", "text 2"], 4: ["E2", "E1"],
+        5: ["E1", "E2", "A", "text 3"], 6: []}
+    # passages that are there twice are shown twice, an event that is there twice has two rows
+    got = context_text(slots, subs, events((1, "E1"), (2, "E1")), links, passages.unionAll(passages)).collect()
+    assert sorted(_told(r["context"]) for r in got if r["pos"] == 2) == [["E1", *["A", "text 1"] * 4]] * 2
+
+
+def test_contexts_are_joined_without_sorting_them(spark):
+    slots, subs, events, links, passages = _context_tables(spark)
+    stories = spark.createDataFrame([(1, "p")], "story_id long, premise string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = req_compress(stories, context_text(slots, subs, events((1, "E1"), (2, "E2")), links, passages), subs)
+        assert r._jdf.queryExecution().executedPlan().toString().count("ShuffledHashJoin") == 2
+        assert r.count() == 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
