@@ -131,3 +131,53 @@ def test_a_curve_that_ranks_nothing_flags_nothing():
     model = toxicity.Toxicity(None, telling, labels, 0.3)
     curve = 1 / (1 + np.exp(-(model._raw(telling) + model.shift)))
     assert ((curve >= 0.3) == (labels == 1)).all()
+
+
+def learned(spark, monkeypatch, rows):
+    docs = spark.createDataFrame([(i, t, "x", 0.0, "y") for i, (t, _) in enumerate(rows)], SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id bigint, toxic int")
+    got, whole = [], toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda d, c, y, *rest: got.append((d, y)) or whole(d, c, y, *rest))
+    train(docs, labels, F.lit(True))
+    return got[0]
+
+
+def test_learning_reads_whole_texts(spark, monkeypatch):
+    """A stem that stands between the pieces of an excerpt is learned."""
+    plain = " ".join(t for t, y in corpus(120, 10, 0))[:60_000]
+    at = plain.index(" ", len(plain) // 16 * 3 + 2000)
+    hidden = [plain[:at] + " zorgle" * 5 + plain[at:] + f" {i}" for i in range(16)]
+    assert b"zorgle" not in spread(hidden[0].encode())
+    distances, _ = learned(spark, monkeypatch, [(f"{plain} {i}", 0) for i in range(16)] + [(t, 1) for t in hidden])
+    assert b"zorg" in distances[0].toxic
+
+
+def test_learning_reads_all_labelled_rows(spark, monkeypatch):
+    rows = [(f"th er in an {i:x} " * 2, 0) for i in range(6200)] + [(f"scum idiot {i:x}", 1) for i in range(16)]
+    _, y = learned(spark, monkeypatch, rows)
+    assert [int((y == k).sum()) for k in (1, 0)] == [8, 3100]
+
+
+def test_calibration_in_tasks_equals_that_on_the_driver(spark, monkeypatch):
+    rows = corpus(400, 11)
+    docs = spark.createDataFrame([(i, t, "x", 0.0, "y") for i, (t, _) in enumerate(rows)], SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id bigint, toxic int")
+    here = train(docs, labels, F.lit(True))
+    monkeypatch.setattr(toxicity, "HELD_DOCS", 0)
+    tasks = train(docs, labels, F.lit(True))
+    texts = [t.encode() for t, _ in corpus(100, 12)]
+    assert here.distance.toxic == tasks.distance.toxic and here.distance.ordinary == tasks.distance.ordinary
+    assert abs(here.scores(texts) - tasks.scores(texts)).max() < 0.01
+
+
+def test_dictionaries_of_many_groups_are_merged(spark, monkeypatch):
+    """Rounds of merging, in whatever order rows come; segments that all parts share stay."""
+    rows = [(f"{i:064x}", " ".join(t for t, _ in corpus(10, i, 0))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "digest string, text string")
+    monkeypatch.setattr(toxicity, "GROUP_BYTES", 32768)
+    monkeypatch.setattr(toxicity, "MERGED", 4)
+    got = toxicity.ordinary_dictionary(docs)
+    assert len(got) == toxicity.ORDINARY_BYTES and got == toxicity.ordinary_dictionary(docs.repartition(7))
+    rng = random.Random(5)
+    parts = [b"".join(rng.choice([b" lorem ipsum dolor", b" %x" % rng.getrandbits(72)]) for _ in range(220)) for _ in range(8)]
+    assert b"lorem ipsum" in toxicity.merged_dictionary(parts)
