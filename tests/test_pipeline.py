@@ -243,3 +243,11 @@ def folders(run, top):
     jvm = run.spark._jvm.org.apache.hadoop.fs.Path(run.where(top))
     fs = jvm.getFileSystem(run.spark._jsc.hadoopConfiguration())
     return [f"{s.getPath().toString()}/x" for s in fs.listStatus(jvm)]
+
+
+def test_a_wave_reads_its_own_rows(run):
+    """What waves share lies in folders by wave, and a wave opens no folder of another one."""
+    for name, column in (("slots", "wave"), ("scenes", "wave"), ("lists", "last_wave")):
+        last = run.read(f"write/{name}").where(F.col(column) == run_waves(run))
+        assert last.count() > 0
+        assert f"PartitionFilters: [isnotnull({column}" in last._jdf.queryExecution().toString()
