@@ -43,9 +43,10 @@ SELECT stage, story_id, CAST(sum(n) AS BIGINT) AS n FROM (
   UNION ALL SELECT 'passages', story_id, count(*) FROM fx_passages GROUP BY story_id) c
 GROUP BY ROLLUP (stage, story_id)""")
 def run_counters(spark, sf):
+    """S7. Events and passages are counted by their rows, whose texts are neither made nor kept for it."""
     f = fx(spark, sf)
-    parts = [(n, d) for n, d in [("candidates", f.candidates), ("events", f.events), ("sub_events", f.sub_events),
-                                 ("chapters", f.chapters), ("passages", f.passages)]]
+    parts = [("candidates", f.candidates), ("events", f.event_rows), ("sub_events", f.sub_events),
+             ("chapters", f.chapters), ("passages", f.passage_rows)]
     counts = None
     for name, d in parts:
         c = d.groupBy("story_id").agg(F.count(F.lit(1)).alias("n")).withColumn("stage", F.lit(name))

@@ -135,3 +135,16 @@ def test_contexts_are_joined_without_sorting_them(spark):
         assert r.count() == 6
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_counters_neither_make_nor_keep_texts(spark):
+    """Events and passages are counted without the lines and names that their texts are made of."""
+    from longform.catalog import queries
+    from longform.catalog.common import fx
+    sf = "/root/testdata/sf0.001"
+    got = queries()["run_counters"](spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_lines#" not in plan and "p_name" not in plan
+    f = fx(spark, sf)
+    totals = {r["stage"]: r["n"] for r in got.where("story_id IS NULL").collect()}
+    assert totals["events"] == f.events.count() and totals["passages"] == f.passages.count()
